@@ -200,14 +200,17 @@ class PrefixTableBpe:
         if (kind == 1).any():
             try:
                 raw.decode()
+                plain = not (kind[1:-1] == 2).any()
             except UnicodeDecodeError:
-                raw = self._decode_slow(keep)
+                plain = False
+            if not plain:
+                raw = self._decode_slow(ids)
         if self.text[keep[0]].startswith(SPACE):
             raw = raw[1:]
         return raw
 
     def _decode_slow(self, ids: np.ndarray) -> bytes:
-        """Runs of byte pieces are decoded on their own; each byte that is not part of a character gives U+FFFD."""
+        """Runs of byte pieces are decoded on their own, and a control id ends a run; each byte that is not part of a character gives U+FFFD."""
         out, run = [], bytearray()
         for i in ids.tolist():
             if self.kind[i] == 1:
