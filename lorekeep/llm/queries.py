@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import simhash, spm, token_shards
+from lorekeep.llm import license_scan, simhash, spm, token_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,17 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), payload=False)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.digest(license_scan.scan_licenses(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_shards": op1_token_shards,
         "op4_simhash": op4_simhash,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_license_scan": op10_license_scan,
     }
 
 
