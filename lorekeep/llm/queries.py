@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorekeep.llm import license_scan, simhash, spm, token_shards
+from lorekeep.llm import license_scan, line_templates, simhash, spm, token_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = line_templates.drop_recurring_lines(docs.select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return spm.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), payload=False)
@@ -38,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_shards": op1_token_shards,
         "op4_simhash": op4_simhash,
+        "op8_line_dedup": op8_line_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_license_scan": op10_license_scan,
     }
