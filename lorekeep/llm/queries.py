@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import license_scan, line_templates, simhash, spm, token_shards
+from lorekeep.llm import license_scan, line_templates, simhash, spm, token_shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    lexicon = toxicity.learn(docs, labels, ~toxicity.held_out())
+    scored = toxicity.score_texts(docs, lexicon)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = line_templates.drop_recurring_lines(docs.select("doc_id", "text"))
@@ -45,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_shards": op1_token_shards,
         "op4_simhash": op4_simhash,
+        "op5_toxicity": op5_toxicity,
         "op8_line_dedup": op8_line_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_license_scan": op10_license_scan,
