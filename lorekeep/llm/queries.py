@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import license_scan, line_templates, simhash, spm, token_shards, toxicity
+from lorekeep.llm import lattice, license_scan, line_templates, simhash, spm, token_shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = line_templates.drop_recurring_lines(docs.select("doc_id", "text"))
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_shards": op1_token_shards,
         "op4_simhash": op4_simhash,
         "op5_toxicity": op5_toxicity,
+        "op7_lattice": op7_lattice,
         "op8_line_dedup": op8_line_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_license_scan": op10_license_scan,
