@@ -141,15 +141,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     arrow_rows(docs.sparkSession, 500)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id long, score double, question_overlap double, answer_overlap double"
-    usable = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
-    size = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
-    parts = max(1, -(-size["n"] // index_items), -(-size["b"] // (64 << 20)))
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     out = None
-    for k in range(parts):
-        # Bounded by the part's size above.
-        rows = usable.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).distinct().orderBy("i", "t").collect()
-        shared = docs.sparkSession.sparkContext.broadcast(BlockMaxIndex([(r["i"], r["t"]) for r in rows]))
+    for shared in _indexes(items, item_id, item_text, index_items):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -164,3 +158,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         part = texts.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def drop_leaky(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.8, passage_words: int = 128, index_items: int = 20_000) -> DataFrame:
+    """The rows of docs that hold no test item, all columns as they are; see find_leaks.  No shuffle."""
+    arrow_rows(docs.sparkSession, 500)
+    at = docs.columns.index(text_col)
+    for shared in _indexes(items, item_id, item_text, index_items):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not shared.value.leaks(t.as_py(), threshold, overlap, passage_words) for t in batch.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _indexes(items: DataFrame, item_id: str, item_text: str, index_items: int) -> Iterator:
+    """Broadcast indexes over the test items, each of bounded size."""
+    usable = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
+    size = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    parts = max(1, -(-size["n"] // index_items), -(-size["b"] // (64 << 20)))
+    for k in range(parts):
+        # Bounded by the part's size above.
+        rows = usable.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).distinct().orderBy("i", "t").collect()
+        yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex([(r["i"], r["t"]) for r in rows]))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import decontaminate, lattice, license_scan, line_templates, simhash, spm, token_shards, toxicity
+from lorekeep.llm import chat_tools, decontaminate, lattice, license_scan, line_templates, simhash, spm, token_shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,30 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+REPLY_SCHEMA = {"type": "object", "required": ["text"], "properties": {"after": {"type": "object"}, "text": {"type": "string", "minLength": 1}}, "additionalProperties": False}
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_tools.turns_as_calls(_table(spark, sf_dir, "conversations"))
+    linked = chat_tools.link_tool_calls(calls, results, {"reply": REPLY_SCHEMA})
+    return linked.select("conv_id", "call_id", "turn", "result_turn", "n_results", "level", "valid", F.size("problems").cast("long").alias("n_problems"), F.sha2("record", 256).alias("record_sha256"))
+
+
+OP6_SQL = """
+WITH calls AS (SELECT conv_id, turn, coalesce(text, '') AS text, 'u' || turn AS call_id, 'u' || (turn - 2) AS need FROM conversations WHERE role = 'user'),
+results AS (SELECT conv_id, 'u' || (turn - 1) AS call_id, min(turn) AS result_turn, arg_min(coalesce(text, ''), turn) AS rtext, count(*) AS n_results
+            FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, r.result_turn, coalesce(r.n_results, 0) AS n_results,
+             c.text, r.rtext, c.need, (SELECT count(*) FROM calls x WHERE x.conv_id = c.conv_id AND x.call_id = c.need) AS found
+      FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id),
+p AS (SELECT *, CASE WHEN turn IS NULL THEN 1 ELSE (text = '')::BIGINT + (turn >= 2 AND found = 0)::BIGINT END AS n_problems FROM j)
+SELECT conv_id, call_id, turn, result_turn, n_results, CASE WHEN turn IS NOT NULL THEN 0 END AS level, n_problems = 0 AS valid, n_problems,
+       sha256(CASE WHEN turn IS NULL THEN '{"id":"' || call_id || '","result":' || coalesce(to_json(rtext)::VARCHAR, 'null') || '}'
+                   ELSE '{"arguments":{' || CASE WHEN turn >= 2 THEN '"after":{"$ref":"' || need || '"},' ELSE '' END || '"text":' || to_json(text)::VARCHAR || '},"id":"' || call_id || '","name":"reply","result":' || coalesce(to_json(rtext)::VARCHAR, 'null') || '}' END) AS record_sha256
+FROM p
+"""
+
+
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -56,12 +80,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan_licenses(docs))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_token_shards": op1_token_shards,
         "op3_decontamination": op3_decontamination,
         "op4_simhash": op4_simhash,
         "op5_toxicity": op5_toxicity,
+        "op6_tool_calls": op6_tool_calls,
         "op7_lattice": op7_lattice,
         "op8_line_dedup": op8_line_dedup,
         "op9_sentencepiece": op9_sentencepiece,
@@ -70,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_tool_calls": OP6_SQL}
