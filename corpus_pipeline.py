@@ -1,0 +1,61 @@
+"""Corpus cleaning in five stages, each a training-data operator over all that the one before kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorekeep.llm import decontaminate, line_templates, simhash, spm, toxicity
+from lorekeep.llm.common import settle
+
+#: SQL cannot express the stages; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under 0.3; the lexicon is learnt from the labelled rows that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    lexicon = toxicity.learn(docs, labels, ~toxicity.held_out())
+    return toxicity.score_texts(docs, lexicon, keep=True).where("score < 0.3").select(docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring line templates leave the texts; n_chars follows."""
+    cleaned = line_templates.drop_recurring_lines(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group; rows without an id stay."""
+    groups = simhash.near_duplicates(docs)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_leaky(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with the digests of the ids and of the decoded text."""
+    encoded = spm.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("simhash", drop_near_copies),
+    ("decontamination", drop_leaked),
+    ("sentencepiece", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
