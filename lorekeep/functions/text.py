@@ -68,8 +68,8 @@ def paragraphs(text: Column, least: int = PARAGRAPH_BYTES) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences end at . ! or ? before white space or at the end; blanks are left out."""
-    parts = F.split(F.trim(F.regexp_replace(text, r"\s", " ")), r"(?<=[.!?]) +")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > 0)
+    parts = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"(?<=[.!?])\s+")
+    return F.filter(parts, lambda s: F.length(s) > 0)
 
 
 def keyword_query(text: Column) -> Column:
@@ -103,7 +103,7 @@ def clock(seconds: Column) -> Column:
 
 def byte_size(n: Column) -> Column:
     """B, KB, MB or GB in steps of 1024, one decimal."""
-    scaled = lambda k, unit: F.concat(F.format_number(n / float(1024**k), "0.0"), F.lit(f" {unit}"))
+    scaled = lambda k, unit: F.format_string(f"%.1f {unit}", n / float(1024**k))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1, "KB")).when(n < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
 
 

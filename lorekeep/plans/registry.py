@@ -30,3 +30,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+def _load() -> None:
+    """Modules that register queries."""
+    from lorekeep.plans import text_queries  # noqa: F401
+
+
+_load()
