@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat_tools, decontaminate, lattice, license_scan, line_templates, simhash, spm, token_shards, toxicity
+from lorekeep.llm import chat_tools, decontaminate, lattice, license_scan, line_templates, simhash, spm, substrings, token_shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(_table(spark, sf_dir, "documents"), payload=False)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": pipeline,
         "op1_token_shards": op1_token_shards,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_simhash": op4_simhash,
         "op5_toxicity": op5_toxicity,
