@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import arrow_rows, connected_components, partitions, settle
+from lorekeep.llm.common import arrow_rows, connected_components, settle
 
 SEED = 42
 
@@ -54,77 +54,78 @@ class VpTree:
     """Top of the tree, grown over a bounded sample; its leaves are the shards of all fingerprints.
 
     A node keeps a vantage point and a radius mu: fingerprints at a distance up
-    to mu live left, others right.  By the triangle inequality a query with
-    reach r must look left if its distance is at most mu + r, and right if it
-    is over mu - r.
+    to mu live left, others right.  Two fingerprints at most ``reach`` apart
+    that the radius parts have, by the triangle inequality, the left one at
+    over mu - reach: so it is enough that those on the left in that band are
+    also sent right.  Every pair within reach meets in a leaf.
     """
 
-    def __init__(self, sample: np.ndarray, leaves: int, reach: int, seed: int = 7):
+    #: Splits are chosen for the least total of shares to this power, the growth of a balanced tree over random bits.
+    POWER = 1.58
+
+    def __init__(self, sample: np.ndarray, total: int, leaf_rows: int, reach: int, seed: int = 7):
         self.reach, self.nodes, self.leaves = reach, [], 0
         self._rng = np.random.default_rng(seed)
-        self.root = self._grow(sample, max(1, leaves))
+        self._least = max(24, leaf_rows * len(sample) // max(1, total))
+        self.root = self._grow(sample)
 
-    def _grow(self, points: np.ndarray, leaves: int) -> int:
+    def _grow(self, points: np.ndarray) -> int:
         """Index of the node, or -1 - leaf."""
         best = None
-        if leaves > 1 and len(points) >= 8:
-            for vp in self._rng.choice(points, min(12, len(points)), replace=False):
-                d = np.bitwise_count(points ^ vp).astype(np.int64)
-                for mu in {int(np.quantile(d, q)) for q in (0.4, 0.5, 0.6)}:
-                    left = (d <= mu).mean()
-                    if 0.2 <= left <= 0.8:
-                        cost = max((d <= mu + self.reach).mean(), (d > mu - self.reach).mean())
+        if len(points) > self._least:
+            some = points if len(points) <= 4096 else self._rng.choice(points, 4096, replace=False)
+            for vp in self._rng.choice(some, 16, replace=False):
+                counts = np.cumsum(np.bincount(np.bitwise_count(some ^ vp), minlength=65)) / len(some)
+                for mu in range(self.reach, 62):
+                    left, right = counts[mu], 1 - counts[mu - self.reach]
+                    if 0.03 < left < 0.97 and right < 0.97:
+                        cost = left**self.POWER + right**self.POWER
                         if best is None or cost < best[0]:
-                            best = (cost, vp, mu, d)
+                            best = (cost, vp, mu)
         if best is None:
             self.leaves += 1
             return -self.leaves
-        _, vp, mu, d = best
+        _, vp, mu = best
+        d = np.bitwise_count(points ^ vp).astype(np.int64)
         at = len(self.nodes)
         self.nodes.append(None)
-        share = round(leaves * float((d <= mu).mean()))
-        self.nodes[at] = (np.uint64(vp), mu, self._grow(points[d <= mu], max(1, share)), self._grow(points[d > mu], max(1, leaves - share)))
+        self.nodes[at] = (np.uint64(vp), mu, self._grow(points[d <= mu]), self._grow(points[d > mu - self.reach]))
         return at
 
-    def route(self, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, rows that must be looked up there, whether the leaf is a row's home)."""
-        stack = [(self.root, np.arange(len(fps)), np.ones(len(fps), bool))]
+    def route(self, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, rows that belong there)."""
+        stack = [(self.root, np.arange(len(fps)))]
         while stack:
-            at, rows, home = stack.pop()
+            at, rows = stack.pop()
             if at < 0:
-                yield -1 - at, rows, home
+                yield -1 - at, rows
                 continue
             vp, mu, left, right = self.nodes[at]
             d = np.bitwise_count(fps[rows] ^ vp).astype(np.int64)
-            for child, near, own in ((left, d <= mu + self.reach, d <= mu), (right, d > mu - self.reach, d > mu)):
+            for child, near in ((left, d <= mu), (right, d > mu - self.reach)):
                 if near.any():
-                    stack.append((child, rows[near], (home & own)[near]))
+                    stack.append((child, rows[near]))
 
 
-def _search(queries: np.ndarray, members: np.ndarray, fps_q: np.ndarray, fps_m: np.ndarray, reach: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _search(queries: np.ndarray, members: np.ndarray, fps: np.ndarray, reach: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (query row, member row) within reach, by vantage points down to small blocks."""
     if not len(queries) or not len(members):
         return
-    if len(members) <= 256 or len(queries) <= 16 or depth >= 12:
-        step = max(1, 2_000_000 // len(members))
-        own = fps_m[members]
+    if len(members) <= 256 or len(queries) <= 16 or depth >= 8:
+        step = max(1, 1_000_000 // len(members))
+        own = fps[members]
         for i in range(0, len(queries), step):
             block = queries[i : i + step]
-            q, m = np.nonzero(np.bitwise_count(fps_q[block][:, None] ^ own[None, :]) <= reach)
+            q, m = np.nonzero(np.bitwise_count(fps[block][:, None] ^ own[None, :]) <= reach)
             yield block[q], members[m]
         return
-    vp = fps_m[members[len(members) // 2]]
-    dm = np.bitwise_count(fps_m[members] ^ vp).astype(np.int64)
-    dq = np.bitwise_count(fps_q[queries] ^ vp).astype(np.int64)
+    vp = fps[members[len(members) // 2]]
+    dm = np.bitwise_count(fps[members] ^ vp).astype(np.int64)
+    dq = np.bitwise_count(fps[queries] ^ vp).astype(np.int64)
     mu = int(np.median(dm))
     left = dm <= mu
-    if left.all():
-        left = dm < mu
-        mu -= 1
-        if not left.any():
-            depth = 12
-    yield from _search(queries[dq <= mu + reach], members[left], fps_q, fps_m, reach, depth + 1)
-    yield from _search(queries[dq > mu - reach], members[~left], fps_q, fps_m, reach, depth + 1)
+    yield from _search(queries[dq <= mu + reach], members[left], fps, reach, depth + 1)
+    yield from _search(queries[dq > mu - reach], members[~left], fps, reach, depth + 1)
 
 
 class Forest:
@@ -148,56 +149,51 @@ class Forest:
         return True
 
 
-def link_fingerprints(fps: DataFrame, reach: int = 3, leaf_rows: int = 1500, sample_rows: int = 65_536, cell_rows: int = 6_000) -> DataFrame:
+def link_fingerprints(fps: DataFrame, reach: int = 3, leaf_rows: int | None = None, sample_rows: int = 65_536, cell_rows: int = 8_000) -> DataFrame:
     """Spanning links between distinct fingerprints at most ``reach`` bits apart.
 
     ``fps`` has fp and rep (long), one row per distinct fingerprint.  Returns
     (src, dst) reps: enough links to join whatever all links join, at most one
     per row and shard, so a ball of near copies gives no square of links.
 
-    A tree over a bounded sample deals every fingerprint to its home shard and,
-    as a query, to the shards that its ball overlaps.  A shard with more rows
-    than ``cell_rows`` is cut into a grid of cells of bounded size.
+    A tree over a bounded sample deals every fingerprint to the shard of its
+    leaf and to those its ball overlaps.  Shards hold about ``leaf_rows`` (by
+    default in proportion to the root of all rows); one with over
+    ``cell_rows`` is cut into chunks, compared pair by pair in cells of bounded size.
     """
     spark = fps.sparkSession
+    arrow_rows(spark, 50_000)
     total = fps.count()
-    leaves = max(1, total // leaf_rows)
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(min(sample_rows, 32 * leaves)).select("fp")
-    tree = VpTree(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64), leaves, reach)
+    if not total:
+        return fps.select(F.col("rep").alias("src"), F.col("rep").alias("dst"))
+    leaf_rows = leaf_rows or max(1_000, int(6 * total**0.5))
+    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).select("fp")
+    tree = VpTree(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64), total, leaf_rows, reach)
     shared = spark.sparkContext.broadcast(tree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for leaf, rows, home in shared.value.route(own):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int32)), pa.array(own[rows].view(np.int64)), pa.array(rep[rows]), pa.array(home)], names=["leaf", "fp", "rep", "home"])
-
-    dealt = fps.select("fp", "rep").mapInArrow(deal, "leaf int, fp long, rep long, home boolean")
-    sizes = dealt.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("own"))
-    # One row per shard, a count bounded by the sample: it may be joined by broadcast.
-    grid = {r["leaf"]: (-(-r["own"] // cell_rows) or 1, -(-r["n"] // (4 * cell_rows)) or 1) for r in sizes.collect()}
-    rows_of = F.create_map(*[F.lit(x) for k, (a, _) in grid.items() for x in (k, a)]) if grid else F.lit(None).cast("map<int,int>")
-    cols_of = F.create_map(*[F.lit(x) for k, (_, b) in grid.items() for x in (k, b)]) if grid else F.lit(None).cast("map<int,int>")
-    if all(v == (1, 1) for v in grid.values()):
-        cells = dealt.select("leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "rep", "home", F.lit(True).alias("ask"))
-    else:
-        spots = dealt.select("*", rows_of[F.col("leaf")].alias("a"), cols_of[F.col("leaf")].alias("b"))
-        spots = spots.select("*", F.pmod(F.xxhash64("fp"), F.col("a")).cast("int").alias("hi"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("b")).cast("int").alias("hj"))
-        asking = spots.select("leaf", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), F.col("hj").alias("j"), "fp", "rep", F.lit(False).alias("home"), F.lit(True).alias("ask"))
-        living = spots.where("home").select("leaf", F.col("hi").alias("i"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"), "fp", "rep", F.lit(True).alias("home"), F.lit(False).alias("ask"))
-        cells = asking.unionByName(living)
+            own, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for leaf, rows in shared.value.route(own.view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int32)), pa.array(own[rows]), pa.array(rep[rows])], names=["leaf", "fp", "rep"])
+
+    dealt = settle(fps.select("fp", "rep").mapInArrow(deal, "leaf int, fp long, rep long"), "shards")
+    # One row per shard that is too large: a count bounded by the sample.
+    large = {r["leaf"]: -(-r["n"] // cell_rows) for r in dealt.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).collect()}
+    cells = dealt.where(~F.col("leaf").isin(list(large)) if large else F.lit(True)).select("leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("chunk"), "fp", "rep")
+    if large:
+        chunks = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])
+        cut = dealt.where(F.col("leaf").isin(list(large))).withColumn("g", chunks[F.col("leaf")]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
+        cut = cut.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        cells = cells.unionByName(cut.select("leaf", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "chunk", "fp", "rep"))
 
     def match(table: pa.Table) -> pa.Table:
-        fp, rep = table["fp"].to_numpy().view(np.uint64), table["rep"].to_numpy()
-        members, queries = np.nonzero(table["home"].to_numpy())[0], np.nonzero(table["ask"].to_numpy())[0]
+        fp, rep, chunk = table["fp"].to_numpy().view(np.uint64), table["rep"].to_numpy(), table["chunk"].to_numpy()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
         forest, src, dst = Forest(len(fp)), [], []
-        first = {}
-        for k, r in enumerate(rep.tolist()):
-            first.setdefault(r, k)
-        spot = np.array([first[r] for r in rep.tolist()], np.int64)
-        for q, m in _search(queries, members, fp, fp, reach):
-            keep = fp[q] != fp[m]
-            for a, b in zip(spot[q[keep]].tolist(), spot[m[keep]].tolist()):
+        for q, m in _search(np.nonzero(chunk == j)[0], np.nonzero(chunk == i)[0], fp, reach):
+            keep = q < m if i == j else slice(None)
+            for a, b in zip(q[keep].tolist(), m[keep].tolist()):
                 if forest.join(a, b):
                     src.append(a)
                     dst.append(b)

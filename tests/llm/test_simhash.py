@@ -50,7 +50,7 @@ def test_links_are_exact(spark):
     rows = [(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)]
     want = brute_components(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
     df = spark.createDataFrame(rows, "fp long, rep long")
-    for size in ({"leaf_rows": 50}, {"leaf_rows": 100, "cell_rows": 40}):
+    for size in ({"leaf_rows": 50}, {"leaf_rows": 300, "cell_rows": 40}, {}):
         links = simhash.link_fingerprints(df, **size)
         got = {n: n for n in range(len(fps))} | {r[0]: r[1] for r in connected_components(links).collect()}
         assert got == want
