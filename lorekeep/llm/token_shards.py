@@ -18,6 +18,7 @@ data set.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -37,7 +38,7 @@ from lorekeep.llm.common import arrow_rows, partitions, settle, shared_path
 #: Fixed values of the record framing.
 MASK_DELTA, MASK_TURN = 0xA282EAD8, 15
 INDEX_ENTRY = np.dtype([("offset", "<u8"), ("start", "<u8"), ("n", "<u4")])
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -66,13 +67,39 @@ def unframe(read: Callable[[int], bytes]) -> Iterator[tuple[int | None, np.ndarr
         yield None if flags & 1 else doc_id, np.frombuffer(body, "<u4" if flags & 2 else "<u2", offset=9, count=(n - 9) // (4 if flags & 2 else 2)).astype("<u4")
 
 
+class _Generations(dict):
+    """A memo of two generations: when the young one is full it becomes the old one, so hot keys stay and size is bounded."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def find(self, key: str) -> bytes | None:
+        """The value, taken over from the old generation if it is only there."""
+        value = self.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+
 class WordMemoEncoder:
     """A tokenizer whose pre-tokenizer drops white space: words are encoded apart and remembered.
 
-    Cuts only at spaces and line ends, where no token and no normalisation can
-    reach across; the library encodes each word that is not in the memo.
+    Texts are cut only at spaces and line ends, where no token and no
+    normalisation can reach across.  Of plain words, Latin letters before
+    punctuation, both parts are encoded apart as the pre-tokenizer does, the
+    letters in lower case.  The library encodes what is not in the memo.
     """
 
+    LATIN, MARKS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch, ".,;:!?|%&$#*"
+
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
@@ -82,26 +109,74 @@ class WordMemoEncoder:
         for a, b in (("ab", "cd"), ("x1", "%é"), ("'s", "'t")):
             if self._library(f"{a} {b}\n{a}") != self._library(a) + self._library(b) + self._library(a):
                 raise ValueError("this tokenizer does not drop white space")
-        self.memo: dict[str, bytes] = {"": b""}
-        self.most = memo_words
+        if self._library("Àé,.") != self._library("àé") + self._library(",."):
+            raise ValueError("this tokenizer does not lower case or part letters from punctuation")
+        self.words, self.stems, self.marks = _Generations(memo_words), _Generations(memo_words), _Generations(10_000)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _encode_each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_stems(self, stems: list[str]) -> list[bytes]:
+        """Runs of letters, many in a call: the ends of words tell them apart."""
+        out = []
+        for at in range(0, len(stems), 500):
+            some = stems[at : at + 500]
+            ids = np.array(self._library(" ".join(some)), "<u4")
+            cuts = np.nonzero(self.ends[ids])[0] + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                out += [x.tobytes() for x in np.split(ids, cuts[:-1])]
+            else:
+                out += self._encode_each(some)
+        return out
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        plain, odd = [], []
+        for w in missing:
+            value = self.words.find(w)
+            if value is not None:
+                found[w] = value
+                continue
+            stem = w.rstrip(self.MARKS)
+            if stem.isalpha() and (stem.isascii() or self.LATIN(stem)):
+                plain.append((w, stem.lower(), w[len(stem) :]))
+            elif w:
+                odd.append(w)
+            else:
+                found[w] = b""
+        stems = {s: self.stems.find(s) for _, s, _ in plain}
+        new = [s for s, v in stems.items() if v is None]
+        for s, v in zip(new, self._encode_stems(new)):
+            stems[s] = v
+            self.stems.put(s, v)
+        for w, s, mark in plain:
+            tail = self.marks.find(mark) if mark else b""
+            if tail is None:
+                tail = self._encode_each([mark])[0]
+                self.marks.put(mark, tail)
+            found[w] = stems[s] + tail
+        for w, v in zip(odd, self._encode_each(odd) if odd else []):
+            found[w] = v
+        for w, v in found.items():
+            if len(w) <= 64:
+                self.words.put(w, v)
+        return found
+
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        memo = self.memo
         for text in texts:
             words = text.replace("\n", " ").split(" ")
-            missing = [w for w in set(words) if w not in memo]
-            if missing:
-                if len(memo) + len(missing) > self.most:
-                    memo.clear()
-                    memo[""] = b""
-                    missing = [w for w in set(words) if w]
-                for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                    memo[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(memo.__getitem__, words))
+            parts = list(map(self.words.get, words))
+            if None in parts:
+                found = self._learn({w for w, p in zip(words, parts) if p is None})
+                parts = [found[w] if p is None else p for w, p in zip(words, parts)]
+            yield b"".join(parts)
 
 
 @lru_cache(maxsize=4)

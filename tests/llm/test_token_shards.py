@@ -10,7 +10,7 @@ from lorekeep.llm import token_shards as ts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-ODD = ["", " ", "a b", "x\x1cy\x85z", "é è", "Don't  stop\n\n NOW 123", "<|endoftext|> x<|startoftext|>", "日本 語", "😀😀", "ΣΑΣ Σ", "a\t́b ́c", "word " * 3000]
+ODD = ["", " ", "a b", "x\x1cy\x85z", "é è", "Don't  stop\n\n NOW 123", "<|endoftext|> x<|startoftext|>", "日本 語", "😀😀", "ΣΑΣ Σ", "a\t́b ́c", "word " * 3000, "Été, É. naïve!! Straße? ÿ|", "A" * 300 + ".", "don't, can't. I'll"]
 
 
 def library_ids(text):
