@@ -3,7 +3,7 @@
 A fixed-depth parse tree deals lines by token count and leading tokens (those
 with digits count as variable).  Two templates are read off the tree:
 
-* the line with its variable-looking fields (numbers, addresses, hex strings)
+* the line with its variable-looking fields (whatever holds a digit or an @)
   masked, and
 * for each leaf, the tokens that nearly all of its lines share at a position,
   the other positions being variable fields.
@@ -16,38 +16,41 @@ whole document was copied stay, for the near-duplicate step to treat.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import partitions, settle
+from lorekeep.llm.common import settle
 
-#: Variable-looking fields.
-MASKS = (
-    (r"https?://\S+|\S+@\S+\.\S+", "<*>"),
-    (r"\b[0-9a-fA-F]{8,}\b|\b0x[0-9a-fA-F]+\b", "<*>"),
-    (r"[0-9]+", "<*>"),
-)
+#: Tokens that look variable: numbers and whatever holds a digit, addresses.
+VARIABLE = r"\S*[0-9@]\S*"
 BROADCAST_ROWS = 1_000_000
 
 
-def _masked(line: Column) -> Column:
-    # Most lines hold no digit and no address; the patterns run on the others only.
-    out = line
-    for pattern, to in MASKS:
-        out = F.regexp_replace(out, pattern, to)
-    return F.when(F.regexp_like(line, F.lit("[0-9@/]|[0-9a-fA-F]{8}")), out).otherwise(line)
+def _tree(docs: DataFrame, id_col: str, text_col: str, depth: int, max_leaf_tokens: int) -> DataFrame:
+    """A row per line: its document's key, place, size, leaf, masked form and surroundings' hashes.
 
-
-def _tree(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """A row per line: its document's key, place, size, leaf, masked hash and surroundings' hashes."""
-    lines = F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), lambda x: F.trim(x))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), lines.alias("lines"))
-    at = F.transform(F.col("lines"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"), F.get("lines", i - 1).alias("before"), F.get("lines", i + 1).alias("after")))
+    Tokens are what single spaces part.  The masked line itself is kept only
+    where a leaf may generalise it.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.split(text, "\n").alias("lines"))
+    rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(F.trim(x))))
+    at = F.transform("lines", lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line"), F.get("hashes", i - 1).alias("before"), F.get("hashes", i + 1).alias("after")))
     rows = rows.select("id", "th", F.explode(at).alias("x")).select("id", "th", "x.*")
-    rows = rows.withColumn("masked", _masked(F.col("line"))).withColumn("tokens", F.split("masked", r"\s+"))
-    lead = [F.when(F.get("tokens", F.lit(k)).contains("<*>"), F.lit("<*>")).otherwise(F.get("tokens", F.lit(k))) for k in range(depth)]
-    before, after = F.coalesce("before", "after"), F.coalesce("after", "before")
-    return rows.select("id", "th", "pos", F.size("tokens").alias("n"), F.length("line").alias("size"), "tokens", F.xxhash64(F.size("tokens"), *lead).alias("leaf"), F.xxhash64("masked").alias("mask"), F.xxhash64(before).alias("before"), F.xxhash64(after).alias("after"))
+    rows = rows.withColumn("masked", F.when(F.regexp_like("line", F.lit("[0-9@]")), F.regexp_replace("line", VARIABLE, "<*>")).otherwise(F.col("line")))
+    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
+    return rows.select(
+        "id",
+        "th",
+        "pos",
+        "n",
+        F.length("line").alias("size"),
+        F.when(F.col("n") <= max_leaf_tokens, F.col("masked")).alias("masked"),
+        F.xxhash64("n", F.substring_index("masked", " ", depth)).alias("leaf"),
+        F.xxhash64("masked").alias("mask"),
+        F.coalesce("before", "after").alias("before"),
+        F.coalesce("after", "before").alias("after"),
+    )
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -68,8 +71,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Lines under ``min_tokens`` tokens or ``min_chars`` characters are no
     templates; leaves generalise only for lines up to ``max_leaf_tokens`` tokens.
     """
-    tree = _tree(docs, id_col, text_col, depth).where((F.col("n") >= min_tokens) & (F.col("size") >= min_chars))
-    lines = settle(tree.drop("tokens", "size"), "lines")
+    tree = _tree(docs, id_col, text_col, depth, max_leaf_tokens).where((F.col("n") >= min_tokens) & (F.col("size") >= min_chars))
+    lines = settle(tree.drop("size"), "lines")
     often = lines.groupBy("mask").agg(F.count("*").alias("c"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"))
     often = settle(often.where((F.col("c") >= least) & (F.col("b0") != F.col("b1")) & (F.col("a0") != F.col("a1"))).select(F.col("mask").alias("tpl")), "often")
     masks = _surroundings(lines.join(_small(often), lines["mask"] == often["tpl"]).select("tpl", "before", "after"), least)
@@ -78,12 +81,13 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaves = lines.where(F.col("n") <= max_leaf_tokens).groupBy("leaf", "mask").agg(F.count("*").alias("c"), F.min("before").alias("b"), F.min("after").alias("a"))
     leaves = leaves.groupBy("leaf").agg(F.sum("c").alias("lines"), F.count("*").alias("kinds"), F.min("b").alias("b0"), F.max("b").alias("b1"), F.min("a").alias("a0"), F.max("a").alias("a1"))
     leaves = settle(leaves.where((F.col("lines") >= least) & (F.col("kinds") >= 2) & (F.col("b0") != F.col("b1")) & (F.col("a0") != F.col("a1"))).select("leaf", "lines"), "leaves")
-    in_leaf = tree.where(F.col("n") <= max_leaf_tokens).join(_small(leaves), "leaf")
-    words = in_leaf.select("leaf", "lines", "n", F.posexplode("tokens").alias("p", "w")).groupBy("leaf", "lines", "n", "p", "w").agg(F.count("*").alias("c"))
+    short = lines.where(F.col("n") <= max_leaf_tokens)
+    in_leaf = short.join(_small(leaves), "leaf")
+    words = in_leaf.select("leaf", "lines", "n", F.posexplode(F.split("masked", " ")).alias("p", "w")).groupBy("leaf", "lines", "n", "p", "w").agg(F.count("*").alias("c"))
     fixed = words.where(F.col("c") >= F.col("lines") * constant_share)
     fixed = fixed.groupBy("leaf", "n").agg(F.sort_array(F.collect_list(F.struct("p", "w"))).alias("fixed")).where(F.size("fixed") >= F.greatest(F.col("n") * min_constant, F.lit(depth + 1)))
     fixed = settle(fixed.select("leaf", "fixed"), "fixed")
-    in_form = tree.where(F.col("n") <= max_leaf_tokens).join(_small(fixed), "leaf").where(F.forall("fixed", lambda f: F.get("tokens", f["p"]) == f["w"]))
+    in_form = short.join(_small(fixed), "leaf").withColumn("tokens", F.split("masked", " ")).where(F.forall("fixed", lambda f: F.get("tokens", f["p"]) == f["w"]))
     forms = settle(in_form.select("id", "th", "pos", F.col("leaf").alias("tpl"), "before", "after"), "forms")
     kinds = _surroundings(forms, least)
     hit = lines.select("id", "th", "pos", F.col("mask").alias("tpl")).join(_small(settle(masks, "masks")), "tpl").unionByName(forms.select("id", "th", "pos", "tpl").join(kinds, "tpl"))

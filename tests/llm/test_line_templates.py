@@ -6,11 +6,7 @@ from lorekeep.llm import line_templates as lt
 
 
 def masked(line):
-    if not re.search(r"[0-9@/]|[0-9a-fA-F]{8}", line):
-        return line
-    for pattern, to in lt.MASKS:
-        line = re.sub(pattern, to, line)
-    return line
+    return re.sub(lt.VARIABLE, "<*>", line)
 
 
 def brute(rows, least=4, depth=3, min_tokens=3, min_chars=12, max_leaf=64, share=0.95, constant=0.5):
@@ -21,9 +17,9 @@ def brute(rows, least=4, depth=3, min_tokens=3, min_chars=12, max_leaf=64, share
         for k, line in enumerate(own):
             before, after = (own[k - 1] if k else None), (own[k + 1] if k + 1 < len(own) else None)
             before, after = (before if before is not None else after), (after if after is not None else before)
-            tokens = re.split(r"\s+", masked(line))
+            tokens = masked(line).split(" ")
             if len(tokens) >= min_tokens and len(line) >= min_chars:
-                lead = tuple("<*>" if k < len(tokens) and "<*>" in tokens[k] else tokens[k] if k < len(tokens) else None for k in range(depth))
+                lead = tuple(tokens[:depth])
                 lines.append((key, k, tuple(tokens), (len(tokens), lead), masked(line), before, after))
 
     def recurring(uses):
