@@ -67,7 +67,7 @@ def _kind(kinds: set[str]) -> str:
     return FRAME if FRAME in kinds and CAPTION not in kinds else MIXED
 
 
-def chunk_rows(video_id: str, sentences: list[tuple[str, float, float, str]], config: ChunkConfig) -> list[tuple]:
+def chunk_rows(video_id: str, sentences: list[tuple[str, float, float, str]], config: ChunkConfig = ChunkConfig()) -> list[tuple]:
     """Chunks of (text, start, end, kind) sentences; a short tail joins the chunk before it, overlap and all."""
     spans, low = pack([approx_tokens(s[0]) for s in sentences], config)
     drafts = []

@@ -25,10 +25,12 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
@@ -36,5 +38,3 @@ def _load() -> None:
     """Modules that register queries."""
     from lorekeep.plans import kb_queries, text_queries  # noqa: F401
 
-
-_load()
