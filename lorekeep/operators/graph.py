@@ -80,7 +80,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, cut_every: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, cut_every: int = 3) -> DataFrame:
     """(node, rank): fixed iterations, parallel edges count, the mass of nodes without edges is shared by all.
 
     Parallel edges are combined with their share once, so each iteration moves
