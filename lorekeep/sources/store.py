@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MANIFEST = "topic string, video_id string, seq long, status string, title string, published_at string, fetched_at string, indexed_at string, chunk_count long, error string"
+CHUNKS = "chunk_id string, video_id string, chunk_idx int, start_seconds double, end_seconds double, text string, token_count int, kind string, seq long, topic string"
 STATES = ("pending", "acquired", "transcribed", "chunked", "embedded", "indexed", "failed")
 
 
@@ -34,11 +35,12 @@ class TopicStore:
     def _read(self, table: str, topic: str | None, schema: str) -> DataFrame:
         if not self._exists(table):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.parquet(self._path(table))
+        # The schema is given: a table whose last topic was forgotten has no file to infer it from.
+        rows = self.spark.read.schema(schema).parquet(self._path(table))
         return rows.where(F.col("topic") == topic) if topic else rows
 
     def topics(self) -> DataFrame:
-        return self._read("chunks", None, "topic string").select("topic").distinct()
+        return self._read("chunks", None, CHUNKS).select("topic").distinct()
 
     def ingest(self, topic: str, chunks: DataFrame, embeddings: DataFrame, seq: int) -> int:
         """Appends chunks and their vectors; vectors of another size than the topic's are an error."""
@@ -58,7 +60,7 @@ class TopicStore:
         return df.withColumn("__n", F.row_number().over(place)).where("__n = 1").drop("__n")
 
     def chunks(self, topic: str | None = None) -> DataFrame:
-        return self._last(self._read("chunks", topic, "topic string, chunk_id string, video_id string, chunk_idx int, start_seconds double, end_seconds double, text string, token_count int, kind string, seq long"), "topic", "chunk_id")
+        return self._last(self._read("chunks", topic, CHUNKS), "topic", "chunk_id")
 
     def embeddings(self, topic: str | None = None) -> DataFrame:
         return self._last(self._read("embeddings", topic, "topic string, chunk_id string, embedding array<float>, seq long"), "topic", "chunk_id")
