@@ -129,38 +129,39 @@ def _units(text: str) -> tuple[set[str], set[str]]:
     return units, {f"{a} {b}" for a, b in pairwise(words)}
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_entries: int = 5_000, least_docs: int = 3, fit_rows: int = 20_000) -> Lexicon:
-    """A lexicon from the labelled rows for which ``train`` holds.
-
-    Document frequencies of words, word beginnings and word pairs by label are
-    counted over all training texts (copies of a text count once); only entries whose log-odds are clearly
-    above zero come to the driver, at most ``most_entries``.  The three numbers
-    of the logistic curve are fitted on at most ``fit_rows`` training rows, the
-    first by hash of the id.
+def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_entries: int = 5_000, least_docs: int = 3, labelled_rows: int = 50_000) -> Lexicon:
+    """A lexicon from the labelled rows for which ``train`` (on the id) holds.
+
+    At most ``labelled_rows`` of them are used, the first by hash of the id: so
+    their ids may be broadcast, and no text is shuffled.  Of several labels of
+    an id the highest counts.  Document frequencies of words, word beginnings
+    and word pairs are counted by label (copies of a text count once); only
+    entries whose log-odds are clearly above zero come to the driver, at most
+    ``most_entries``.  The three numbers of the logistic curve are fitted on the
+    same rows.
     """
     spark = docs.sparkSession
     arrow_rows(spark, 500)
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
-    rows = docs.where(train).select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(known, id_col)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(train)
+    known = known.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__y")).orderBy(F.xxhash64(id_col), id_col).limit(labelled_rows)
+    texts = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = settle(texts.join(F.broadcast(known), id_col), "labelled")
     # Copies of one text would make all its words look alike: each text counts once for a label.
-    rows = settle(rows, "labelled")
     firsts = rows.groupBy(F.xxhash64("text").alias("h"), "__y").agg(F.min(id_col).alias(id_col)).select(id_col)
-    rows = rows.join(firsts, id_col, "left_semi")
+    rows = rows.join(F.broadcast(firsts), id_col, "left_semi")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Counts are combined for each batch before they are shuffled.
+        # Counts are combined before they are shuffled, in a table of bounded size.
+        counts: dict[str, list[int]] = {}
         for batch in batches:
-            counts: dict[tuple[str, bool], list[int]] = {}
-            seen = [0, 0]
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                units, _ = _units(text)
-                seen[y] += 1
-                for u in units:
+                for u in _units(text)[0] | {""}:
                     counts.setdefault(u, [0, 0])[y] += 1
-            counts[""] = seen
-            yield pa.RecordBatch.from_pydict({"unit": list(counts), "neg": [c[0] for c in counts.values()], "pos": [c[1] for c in counts.values()]}, schema=pa.schema([("unit", pa.string()), ("neg", pa.int64()), ("pos", pa.int64())]))
+            if len(counts) > 400_000:
+                yield _counted(counts)
+                counts = {}
+        yield _counted(counts)
 
-    # Batches without a toxic row still count for the negatives of the same entries.
     units = settle(rows.select("text", "__y").mapInArrow(split, "unit string, neg long, pos long").groupBy("unit").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where((F.col("pos") >= least_docs) | (F.col("unit") == "")), "units")
     total = units.where("unit = ''").first()
     if total is None or not total["pos"] or not total["neg"]:
@@ -182,7 +183,6 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     entries = dict(sorted(entries.items(), key=lambda e: (-e[1], e[0]))[:most_entries])
     lexicon = Lexicon(entries)
     lexicon.exceptions = _learn_exceptions(rows, lexicon)
-    fit = rows.orderBy(F.xxhash64(id_col), id_col).limit(fit_rows).select("text", "__y")
     matcher = spark.sparkContext.broadcast(lexicon)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +192,16 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), batch.column(1).cast(pa.int64())], names=["a", "b", "y"])
 
     # Hits are sparse: equal features are counted together before they come to the driver.
-    table = fit.mapInArrow(featured, "a double, b double, y long").groupBy(F.round("a", 3).alias("a"), F.round("b", 3).alias("b"), "y").count().collect()
+    table = rows.select("text", "__y").mapInArrow(featured, "a double, b double, y long").groupBy(F.round("a", 3).alias("a"), F.round("b", 3).alias("b"), "y").count().collect()
     lexicon.bias, lexicon.per_hit, lexicon.per_rate = _fit(table)
     return lexicon
 
 
+def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
+    columns = {"unit": list(counts), "neg": [c[0] for c in counts.values()], "pos": [c[1] for c in counts.values()]}
+    return pa.RecordBatch.from_pydict(columns, schema=pa.schema([("unit", pa.string()), ("neg", pa.int64()), ("pos", pa.int64())]))
+
+
 def _learn_exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 5, most: int = 2_000) -> frozenset[str]:
     """Pairs around a lexicon word that are found in several documents, next to never in toxic ones."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
