@@ -1,22 +1,27 @@
 """Recurring line templates across documents, in DataFrame functions only.
 
 A fixed-depth parse tree deals lines by token count and leading tokens (those
-with digits count as variable).  Two templates are read off the tree:
+with digits count as variable).  Two kinds of templates are read off the tree:
 
 * the line with its variable-looking fields (whatever holds a digit or an @)
   masked, and
-* for each leaf, the tokens that nearly all of its lines share at a position,
-  the other positions being variable fields.
+* in each leaf, the tokens that many texts share at a position, the other
+  positions being variable fields.  A leaf may hold several: "many" is taken at
+  rising levels, up to nearly all of the leaf's texts.
 
 A template is dropped when it recurs in ``least`` or more different
 surroundings: different lines before it and different lines after it (at a
-text's border only the other side counts).  So lines that recur only because a
-whole document was copied stay, for the near-duplicate step to treat.
+text's border only the other side counts; blank lines are passed over).  The
+lines of a recurring block surround each other, so the lines around the whole
+block count as well, except in texts that are recurring lines for the most
+part.  So lines that recur only because a whole document was copied stay, for
+the near-duplicate step to treat.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import settle
@@ -26,16 +31,15 @@ VARIABLE = r"\S*[0-9@]\S*"
 BROADCAST_ROWS = 1_000_000
 
 
-def _tree(docs: DataFrame, id_col: str, text_col: str, depth: int, max_leaf_tokens: int) -> DataFrame:
-    """A row per line: its document's key, place, size, leaf, masked form and surroundings' hashes.
+def _tree(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """A row per line that is not blank: its document's key, place, size, hash, leaf, masked form and neighbours' hashes.
 
-    Tokens are what single spaces part.  The masked line itself is kept only
-    where a leaf may generalise it.
+    Tokens are what single spaces part.  Neighbours are the nearest lines that are not blank.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.split(text, "\n").alias("lines"))
-    rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(F.trim(x))))
-    at = F.transform("lines", lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line"), F.get("hashes", i - 1).alias("before"), F.get("hashes", i + 1).alias("after")))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.split(F.col(text_col).cast("string"), "\n").alias("lines"))
+    full = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line"))), lambda s: s["line"].rlike(r"\S"))
+    rows = rows.select("id", "th", full.alias("lines")).withColumn("hashes", F.transform("lines", lambda s: F.xxhash64(s["line"])))
+    at = F.transform("lines", lambda s, i: F.struct(s["pos"].alias("pos"), s["line"].alias("line"), F.get("hashes", i).alias("h"), F.get("hashes", i - 1).alias("before"), F.get("hashes", i + 1).alias("after")))
     rows = rows.select("id", "th", F.explode(at).alias("x")).select("id", "th", "x.*")
     rows = rows.withColumn("masked", F.when(F.regexp_like("line", F.lit("[0-9@]")), F.regexp_replace("line", VARIABLE, "<*>")).otherwise(F.col("line")))
     rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
@@ -45,7 +49,8 @@ def _tree(docs: DataFrame, id_col: str, text_col: str, depth: int, max_leaf_toke
         "pos",
         "n",
         F.length("line").alias("size"),
-        F.when(F.col("n") <= max_leaf_tokens, F.col("masked")).alias("masked"),
+        "h",
+        "masked",
         F.xxhash64("n", F.substring_index("masked", " ", depth)).alias("leaf"),
         F.xxhash64("masked").alias("mask"),
         F.coalesce("before", "after").alias("before"),
@@ -65,33 +70,76 @@ def _surroundings(uses: DataFrame, least: int) -> DataFrame:
     return counts.groupBy("tpl").agg(F.count("*").alias("sides")).where("sides = 2").select("tpl")
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 4, depth: int = 3, min_tokens: int = 3, min_chars: int = 12, max_leaf_tokens: int = 64, constant_share: float = 0.95, min_constant: float = 0.5) -> DataFrame:
+def _around_blocks(lines: DataFrame, least: int) -> DataFrame:
+    """(th, pos, mask, before, after): lines around the block of recurring lines next to or about each line.
+
+    A line recurs here if ``least`` different texts hold it.  Each text counts
+    once, however often it was copied; texts with recurring lines for over half
+    of their characters are left out, being copies themselves.
+    """
+    wide = lines.groupBy("mask").agg(F.count("*").alias("c"), F.min("th").alias("t0"), F.max("th").alias("t1")).where((F.col("c") >= least) & (F.col("t0") != F.col("t1"))).select("mask")
+    wide = settle(wide, "wide")
+    texts = lines.join(_small(wide), "mask").select("mask", "th").distinct().groupBy("mask").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
+    recurring = settle(texts.select("mask", F.lit(True).alias("recurs")), "recurring")
+    held = settle(lines.join(_small(recurring), "mask").select("th").distinct(), "held")
+    rows = lines.select("th", "pos", "size", "h", "mask").join(_small(held), "th", "left_semi").dropDuplicates(["th", "pos"])
+    rows = rows.join(_small(recurring), "mask", "left").withColumn("alone", F.when(F.col("recurs").isNull(), F.col("h")))
+    text = W.partitionBy("th")
+    rows = rows.withColumn("of", F.sum("size").over(text)).withColumn("again", F.sum(F.when(F.col("recurs"), F.col("size")).otherwise(0)).over(text))
+    for side, order in (("b", F.col("pos").asc()), ("a", F.col("pos").desc())):
+        rows = rows.withColumn(side, F.last("alone", ignorenulls=True).over(text.orderBy(order).rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.where((F.col("again") * 2 <= F.col("of")) & (F.col("b").isNotNull() | F.col("a").isNotNull()))
+    return rows.select("th", "pos", "mask", F.coalesce("b", "a").alias("before"), F.coalesce("a", "b").alias("after"))
+
+
+def _forms(lines: DataFrame, least: int, depth: int, constant_share: float, min_constant: float) -> DataFrame:
+    """(mask, tpl): the templates with variable words that each masked line has, in leaves with several masked lines.
+
+    A token is constant if enough different texts of the leaf have it at its
+    position.  Where nearly all have it, ``min_constant`` of a line's tokens
+    must be constant; at lower levels so must that share of those after the
+    leading ones, which all lines of a leaf have in common.
+    """
+    leaves = lines.groupBy("leaf", "mask").agg(F.count("*").alias("c"), F.min("th").alias("t0"), F.max("th").alias("t1"))
+    leaves = leaves.groupBy("leaf").agg(F.sum("c").alias("c"), F.count("*").alias("kinds"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    leaves = settle(leaves.where((F.col("c") >= least) & (F.col("kinds") >= 2) & (F.col("t0") != F.col("t1"))).select("leaf"), "leaves")
+    in_leaf = settle(lines.join(_small(leaves), "leaf").select("leaf", "th", "mask", "n", "masked").distinct(), "in-leaf")
+    texts = in_leaf.select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))
+    texts = settle(texts.where(F.col("texts") >= least), "texts")
+    words = in_leaf.join(_small(texts), "leaf").select("leaf", "th", F.posexplode(F.split("masked", " ")).alias("p", "w"))
+    support = words.distinct().groupBy("leaf", "p", "w").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    kinds = in_leaf.select("leaf", "mask", "n", "masked").distinct().join(_small(texts), "leaf")
+    tokens = kinds.select("leaf", "mask", "n", "texts", F.posexplode(F.split("masked", " ")).alias("p", "w")).join(support, ["leaf", "p", "w"])
+    tokens = tokens.groupBy("leaf", "mask", "n", "texts").agg(F.sort_array(F.collect_list(F.struct("p", "w", "c"))).alias("tokens"))
+    top = F.ceil(F.col("texts") * constant_share).cast("long")
+    steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda j: (F.lit(least) * F.pow(F.lit(4), j)).cast("long")), lambda t: t < top)
+    tokens = tokens.withColumn("top", top).withColumn("level", F.explode(F.array_append(steps, top)))
+    tokens = tokens.withColumn("fixed", F.filter("tokens", lambda x: x["c"] >= F.col("level")))
+    needed = F.when(F.col("level") == F.col("top"), F.col("n") * min_constant).otherwise(depth + (F.col("n") - depth) * min_constant)
+    fixed = tokens.where(F.size("fixed") >= F.greatest(needed, F.lit(depth + 1)))
+    return fixed.select("mask", F.xxhash64("leaf", F.transform("fixed", lambda x: F.struct(x["p"], x["w"]))).alias("tpl")).distinct()
+
+
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 4, depth: int = 3, min_tokens: int = 3, min_chars: int = 12, constant_share: float = 0.95, min_constant: float = 0.5) -> DataFrame:
     """(id, th, pos): the lines to drop.  th is the hash of the text, pos the line's number from 0.
 
-    Lines under ``min_tokens`` tokens or ``min_chars`` characters are no
-    templates; leaves generalise only for lines up to ``max_leaf_tokens`` tokens.
+    Lines under ``min_tokens`` tokens or ``min_chars`` characters are no templates.
     """
-    tree = _tree(docs, id_col, text_col, depth, max_leaf_tokens).where((F.col("n") >= min_tokens) & (F.col("size") >= min_chars))
-    lines = settle(tree.drop("size"), "lines")
+    every = settle(_tree(docs, id_col, text_col, depth), "lines")
+    lines = every.where((F.col("n") >= min_tokens) & (F.col("size") >= min_chars))
     often = lines.groupBy("mask").agg(F.count("*").alias("c"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"))
     often = settle(often.where((F.col("c") >= least) & (F.col("b0") != F.col("b1")) & (F.col("a0") != F.col("a1"))).select(F.col("mask").alias("tpl")), "often")
     masks = _surroundings(lines.join(_small(often), lines["mask"] == often["tpl"]).select("tpl", "before", "after"), least)
-
-    # Leaves whose lines differ after masking may hold a template with variable words.
-    leaves = lines.where(F.col("n") <= max_leaf_tokens).groupBy("leaf", "mask").agg(F.count("*").alias("c"), F.min("before").alias("b"), F.min("after").alias("a"))
-    leaves = leaves.groupBy("leaf").agg(F.sum("c").alias("lines"), F.count("*").alias("kinds"), F.min("b").alias("b0"), F.max("b").alias("b1"), F.min("a").alias("a0"), F.max("a").alias("a1"))
-    leaves = settle(leaves.where((F.col("lines") >= least) & (F.col("kinds") >= 2) & (F.col("b0") != F.col("b1")) & (F.col("a0") != F.col("a1"))).select("leaf", "lines"), "leaves")
-    short = lines.where(F.col("n") <= max_leaf_tokens)
-    in_leaf = short.join(_small(leaves), "leaf")
-    words = in_leaf.select("leaf", "lines", "n", F.posexplode(F.split("masked", " ")).alias("p", "w")).groupBy("leaf", "lines", "n", "p", "w").agg(F.count("*").alias("c"))
-    fixed = words.where(F.col("c") >= F.col("lines") * constant_share)
-    fixed = fixed.groupBy("leaf", "n").agg(F.sort_array(F.collect_list(F.struct("p", "w"))).alias("fixed")).where(F.size("fixed") >= F.greatest(F.col("n") * min_constant, F.lit(depth + 1)))
-    fixed = settle(fixed.select("leaf", "fixed"), "fixed")
-    in_form = short.join(_small(fixed), "leaf").withColumn("tokens", F.split("masked", " ")).where(F.forall("fixed", lambda f: F.get("tokens", f["p"]) == f["w"]))
-    forms = settle(in_form.select("id", "th", "pos", F.col("leaf").alias("tpl"), "before", "after"), "forms")
-    kinds = _surroundings(forms, least)
-    hit = lines.select("id", "th", "pos", F.col("mask").alias("tpl")).join(_small(settle(masks, "masks")), "tpl").unionByName(forms.select("id", "th", "pos", "tpl").join(kinds, "tpl"))
-    return hit.select("id", "th", "pos").distinct()
+    around = settle(_around_blocks(every, least), "around")
+    masks = masks.unionByName(_surroundings(around.select(F.col("mask").alias("tpl"), "before", "after"), least))
+
+    # Leaves whose lines differ after masking may hold templates with variable words.
+    forms = settle(_forms(lines, least, depth, constant_share, min_constant), "forms")
+    for uses in (lines, around):
+        good = _surroundings(uses.join(_small(forms), "mask").select("tpl", "before", "after"), least)
+        masks = masks.unionByName(forms.join(good, "tpl", "left_semi").select(F.col("mask").alias("tpl")))
+    masks = settle(masks.distinct(), "masks")
+    return lines.join(_small(masks), lines["mask"] == masks["tpl"], "left_semi").select("id", "th", "pos").distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **tuning) -> DataFrame:

@@ -74,3 +74,36 @@ def test_lines_equal_brute_force(spark):
     assert any("Subscribe" in t for _, t in rows if t) and not any("Subscribe" in (r[1] or "") for r in got)
     assert sum("copied" in (r[1] or "") for r in got) == 60
     assert lt.drop_recurring_lines(df.limit(0)).count() == 0
+
+
+def words(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+
+def test_blocks_and_lines_between_blank_ones_go_but_copies_stay(spark):
+    rnd = random.Random(9)
+    block = ["First line of the boilerplate block", "its second line follows at once", "and the third one ends it"]
+    rows = [(i, "\n\n".join([words(rnd, 12), *block, words(rnd, 12)])) for i in range(8)]
+    body = [words(rnd, 12) for _ in range(12)]
+    for i in range(10):  # copies with a line changed each
+        rows.append((100 + i, "\n".join(body[:i] + [words(rnd, 12)] + body[i + 1 :])))
+    got = {r["doc_id"]: r["text"] for r in lt.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        want = [x for x in text.split("\n") if x not in block]
+        assert got[i].split("\n") == want
+
+
+def test_a_leaf_may_hold_several_templates(spark):
+    rnd = random.Random(10)
+    tail = " ".join(f"w{c}" for c in "abcdefghijklmnopqrst")
+    forms = ["you are reading the daily paper of " + tail, "you are reading some other sheet by " + tail[::-1]]
+    rows = []
+    for i in range(24):
+        rows.append((i, "\n".join([words(rnd, 9), f"{forms[i % 2]} {words(rnd, 1)}", words(rnd, 9)])))
+    n = len(forms[0].split(" ")) + 1
+    plain = ["you are reading " + words(rnd, n - 3) for _ in range(6)]
+    rows += [(50 + i, "\n".join([words(rnd, 9), x, words(rnd, 9)])) for i, x in enumerate(plain)]
+    rows += [(1000 + i, rows[0][1]) for i in range(600)]  # one text copied often
+    got = {r["doc_id"]: r["text"] for r in lt.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert got[i].split("\n") == [x for x in text.split("\n") if not x.startswith(tuple(forms))]
