@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import decontaminate, line_templates, simhash, spm, toxicity
+from lorekeep.llm import decontaminate, line_templates, near_copies, spm, toxicity
 from lorekeep.llm.common import settle
 
 #: SQL cannot express the stages; tests hold run() against a brute-force version.
@@ -27,8 +27,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; rows without an id stay."""
-    groups = simhash.near_duplicates(docs)
+    """The document with the smallest id of each group of near copies (five-word shingles, 0.8 or more); rows without an id stay."""
+    groups = near_copies.near_copies(docs)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
 
