@@ -98,9 +98,10 @@ class BlockMaxIndex:
                     found.append((k, score))
         return found
 
-    def leaks(self, text: str | None, threshold: float, overlap: float, passage_words: int) -> list[tuple[int, float, float, float]]:
+    def leaks(self, text: str | None, threshold: float, overlap: float, passage_words: int, part_overlap: float | None = None) -> list[tuple[int, float, float, float]]:
         """(item id, BM25 share, question overlap, answer overlap) of the items that a text holds."""
         words = words_of(text)
+        parts = overlap / 2 if part_overlap is None else part_overlap
         known = self.at
         size = max(passage_words, 2 * self.longest)
         step = size // 2
@@ -121,12 +122,12 @@ class BlockMaxIndex:
                             grams[len(g)] = {tuple(window[i : i + len(g)]) for i in range(len(window) - len(g) + 1)}
                         held += g in grams[len(g)]
                     share.append(held / len(own) if own else 1.0)
-                if share[2] >= overlap and min(share[:2]) >= overlap / 2:
+                if share[2] >= overlap and min(share[:2]) >= parts:
                     best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (score, share[0], share[1]))
         return [(self.ids[k], *v) for k, v in sorted(best.items(), key=lambda e: (self.ids[e[0]], e[0]))]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.8, passage_words: int = 128, index_items: int = 20_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.8, passage_words: int = 128, index_items: int = 20_000, part_overlap: float | None = None) -> DataFrame:
     """One row per document row and test item that it holds: id, item_id, score, question_overlap, answer_overlap.
 
     Passages have ``passage_words`` words, at least twice the longest item's,
@@ -135,6 +136,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     id each text counts.  Null and empty documents hold nothing, null document
     ids stay, other columns are ignored, an empty table of either gives none.
 
+    Question and answer must each be held to ``part_overlap``, half of ``overlap``
+    unless given.  A short answer has few shingles, or one, and an edited word
+    breaks them all: with 0 the overlap of the whole item decides.
+
     The index is broadcast in parts of at most ``index_items`` items and 64 MB of
     text, one pass over the documents for each part.
     """
@@ -149,7 +154,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             for batch in batches:
                 at, found = [], []
                 for row, text in enumerate(batch.column(1)):
-                    for leak in shared.value.leaks(text.as_py(), threshold, overlap, passage_words):
+                    for leak in shared.value.leaks(text.as_py(), threshold, overlap, passage_words, part_overlap):
                         at.append(row)
                         found.append(leak)
                 cols = [pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
@@ -160,7 +165,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return out
 
 
-def drop_leaky(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.8, passage_words: int = 128, index_items: int = 20_000) -> DataFrame:
+def drop_leaky(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.8, passage_words: int = 128, index_items: int = 20_000, part_overlap: float | None = None) -> DataFrame:
     """The rows of docs that hold no test item, all columns as they are; see find_leaks.  No shuffle."""
     arrow_rows(docs.sparkSession, 500)
     at = docs.columns.index(text_col)
@@ -168,7 +173,7 @@ def drop_leaky(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.leaks(t.as_py(), threshold, overlap, passage_words) for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not shared.value.leaks(t.as_py(), threshold, overlap, passage_words, part_overlap) for t in batch.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -69,3 +69,18 @@ def test_leaks_equal_brute_force(spark):
     assert len(want) > 20
     assert dc.find_leaks(df.limit(0), bench).count() == 0
     assert dc.find_leaks(df, bench.limit(0)).count() == 0
+
+
+def test_query_and_stage_find_leaks_with_an_edited_or_missing_short_answer(spark, tmp_path):
+    import corpus_pipeline
+    from lorekeep.llm import queries
+
+    rnd = random.Random(14)
+    question = [f"w{rnd.randrange(10**6)}" for _ in range(40)]
+    item = " ".join(question) + ". it is the blue one."
+    docs = [(1, "so " + item), (2, "so " + item.replace("blue", "red")), (3, "so " + " ".join(question) + "."), (4, "so " + " ".join(question[:20]) + ".")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r["doc_id"] for r in queries.op3_decontamination(spark, str(tmp_path)).collect()) == [1, 2, 3]
+    kept = corpus_pipeline.drop_leaked(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert [r["doc_id"] for r in kept.collect()] == [4]
