@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from dataclasses import dataclass
 
@@ -159,7 +160,7 @@ def communities(nodes: DataFrame, edges: DataFrame, topic_col: str | None = None
     return nodes.unionByName(links).groupBy("topic").applyInPandas(fold, "topic string, community int, node string, label string")
 
 
-def shortest_path(edges: DataFrame, src: str, dst: str, max_hops: int = 50) -> list[str] | None:
+def shortest_path(edges: DataFrame, src: str, dst: str, max_hops: int | None = None) -> list[str] | None:
     """Nodes of a shortest path of the undirected graph, least by name among equals; None if there is none.
 
     Frontier joins: each round keeps a row for every node first reached, with
@@ -173,7 +174,7 @@ def shortest_path(edges: DataFrame, src: str, dst: str, max_hops: int = 50) -> l
         return [src]
     front = edges.sparkSession.createDataFrame([(src, [src])], "node string, path array<string>")
     seen = front.select("node")
-    for _ in range(max_hops):
+    for _ in itertools.count() if max_hops is None else range(max_hops):
         grown = front.join(sym, front["node"] == sym["a"]).select(F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
         front = _cut(grown.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         hit = front.where(F.col("node") == dst).first()
@@ -185,13 +186,13 @@ def shortest_path(edges: DataFrame, src: str, dst: str, max_hops: int = 50) -> l
     return None
 
 
-def distances(edges: DataFrame, src: str, max_hops: int = 50) -> DataFrame:
+def distances(edges: DataFrame, src: str, max_hops: int | None = None) -> DataFrame:
     """(node, hops) of all nodes reached from src."""
     sym = edges.select(F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"))
     sym = _cut(sym.unionByName(sym.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     front = edges.sparkSession.createDataFrame([(src, 0)], "node string, hops int")
     seen = front
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         front = _cut(front.join(sym, front["node"] == sym["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break

@@ -161,3 +161,8 @@ def test_chat_and_quiz(spark):
     assert sorted((r["card_id"], r["chunk_id"]) for r in memory.cards_to_hits(cards, hits).collect()) == [(0, "a"), (1, "a"), (2, "b")]
     assert memory.quiz_order(cards, 1, 2).count() == 2
     assert tuple(memory.trajectory_stats(spark.createDataFrame([], "outcome_score double")).first()) == (0, 0.0)
+
+
+def test_distances_follow_a_chain_to_its_end(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(53)], "src string, dst string")
+    assert {r["node"]: r["hops"] for r in graph.distances(edges, "n0").collect()} == {f"n{i}": i for i in range(54)}
