@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -187,7 +188,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     return rows.mapInArrow(check, "conv_id long, call_id string, name string, turn long, k int, result_turn long, n_results long, level int, valid boolean, problems array<string>, record string")
 
 
-def _levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of the calls with a level; see link_tool_calls."""
     forward = settle(edges.where("at >= from").select("conv_id").distinct(), "forward")
     if forward.isEmpty():
@@ -196,7 +197,7 @@ def _levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1_000) -> Data
     left = settle(edges.join(forward, "conv_id", "left_semi").select("conv_id", "call_id", "need").distinct(), "edges")
     done = settle(nodes.join(forward, "conv_id", "left_semi").join(left, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")), "levels")
     fresh = done
-    for level in range(1, max_rounds):
+    for level in itertools.count(1):
         # Calls that lose their last open need now, one level up.
         open_ = settle(left.join(fresh.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"), "edges")
         fresh = settle(left.select("conv_id", "call_id").distinct().join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "levels")
