@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorekeep.session import checkpoint_folder
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Ends the lineage by a reliable checkpoint in the shared folder."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +23,25 @@ def build_session(app: str = "lorekeep", master: str | None = None, **conf: str)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: spark.checkpoint.dir, else the one set on the context.
+
+    Only a local master gets a temporary folder where none is set; on a cluster
+    that is an error, since no executor could read another's local files.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="lorekeep-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of any file system Spark knows; nothing happens if it is not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
