@@ -77,7 +77,7 @@ def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     <tool_result>{"id", "content"}</tool_result>; what is no such JSON becomes a
     call or result without id, which links with nothing.
     """
-    arrow_rows(messages.sparkSession, 500)
+    arrow_rows(messages.sparkSession)
     source = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("text").cast("string"))
 
     def found(pattern: re.Pattern, text: str | None) -> Iterator[tuple[int, dict]]:
@@ -151,7 +151,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     Nothing is gathered by conversation: levels come from joins, so one
     conversation may hold any share of the rows.
     """
-    arrow_rows(calls.sparkSession, 500)
+    arrow_rows(calls.sparkSession)
     calls = settle(calls.select("conv_id", "turn", "k", "call_id", "name", "arguments", F.array_distinct("needs").alias("needs")), "calls")
     answers = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "k", "content")).alias("r"), F.count("*").alias("n_results"))
     nodes = calls.where("call_id is not null and conv_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "k")).alias("at"))

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.session import checkpoint_folder, delete_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="lorekeep-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
+#: Rows of an Arrow batch: texts can be long, so Spark's default of 10,000 is too many.
+ARROW_ROWS = 500
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in one folder for the application."""
+    return f"{checkpoint_folder(spark)}/lorekeep-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -28,40 +24,60 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
 
 
-def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds an Arrow batch; texts can be long, so the default of 10,000 rows is too many."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def release(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_settled", None)
+        if path:
+            delete_path(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application has settled; results not yet written elsewhere go with it."""
+    delete_path(spark, f"{checkpoint_folder(spark)}/lorekeep-{spark.sparkContext.applicationId}")
+
+
+def arrow_rows(spark: SparkSession) -> None:
+    """Bounds Arrow batches at ARROW_ROWS rows: one bound for all operators, since plans run later than they are built.
+
+    A lower setting of the session stays.
+    """
+    if int(spark.conf.get(_RECORDS)) > ARROW_ROWS or int(spark.conf.get(_RECORDS)) <= 0:
+        spark.conf.set(_RECORDS, str(ARROW_ROWS))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the graph of ``edges`` (src, dst: long), as (node, component).
 
     Alternates large-star and small-star steps, each a min per node (combined
     before the shuffle) and a join, until the edges are one star per component
-    whose centre is its smallest node.  Every round ends in a table in the
-    shared folder.  Nodes without edges are not returned.
+    whose centre is its smallest node; they get there in a number of rounds
+    that grows with the logarithm of the edges.  Every round ends in a table in
+    the shared folder and drops the one before.  Nodes without edges are not returned.
     """
     star = settle(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "cc")
     mark = _mark(star)
-    for _ in range(max_rounds):
+    while True:
         both = star.unionByName(star.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         lows = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
         large = both.join(lows, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
         lows = large.groupBy("src").agg(F.min("dst").alias("low"))
         small = large.join(lows, "src")
+        before, old = mark, star
         star = settle(small.where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(lows.withColumnRenamed("low", "dst")).distinct(), "cc")
-        before, mark = mark, _mark(star)
+        mark = _mark(star)
+        release(old)
         if before == mark:
             break
-    else:
-        raise RuntimeError("components did not settle")
     centres = star.select(F.col("dst").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return star.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(centres)
 

@@ -143,7 +143,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     The index is broadcast in parts of at most ``index_items`` items and 64 MB of
     text, one pass over the documents for each part.
     """
-    arrow_rows(docs.sparkSession, 500)
+    arrow_rows(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id long, score double, question_overlap double, answer_overlap double"
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string"))
@@ -167,7 +167,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def drop_leaky(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.8, passage_words: int = 128, index_items: int = 20_000, part_overlap: float | None = None) -> DataFrame:
     """The rows of docs that hold no test item, all columns as they are; see find_leaks.  No shuffle."""
-    arrow_rows(docs.sparkSession, 500)
+    arrow_rows(docs.sparkSession)
     at = docs.columns.index(text_col)
     for shared in _indexes(items, item_id, item_text, index_items):
 

@@ -103,7 +103,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, id_col: str
     and cell.  Cells over ``cell_rows`` rows are cut into chunks.
     """
     spark = vectors.sparkSession
-    arrow_rows(spark, 2_000)
+    arrow_rows(spark)
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     marked = settle(rows.withColumn("key", F.when(sound, F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256))), "vectors")

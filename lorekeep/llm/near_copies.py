@@ -54,7 +54,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of bounded size.  A null id is left out, an empty table gives none.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 200)
+    arrow_rows(spark)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

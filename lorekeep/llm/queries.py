@@ -21,7 +21,7 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.drop_repeats(_table(spark, sf_dir, "documents"), payload=False)
+    return substrings.drop_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id_col, fp): fp is the fingerprint as a signed long.  Null text counts as empty: fingerprint zero."""
-    arrow_rows(docs.sparkSession, 500)
+    arrow_rows(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def link_fingerprints(fps: DataFrame, reach: int = 3, leaf_rows: int | None = No
     ``cell_rows`` is cut into chunks, compared pair by pair in cells of bounded size.
     """
     spark = fps.sparkSession
-    arrow_rows(spark, 50_000)
+    arrow_rows(spark)
     total = fps.count()
     if not total:
         return fps.select(F.col("rep").alias("src"), F.col("rep").alias("dst"))

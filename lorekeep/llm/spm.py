@@ -23,7 +23,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     columns are ignored.  One pass, no shuffle; memory is one Arrow batch plus
     the encoder's bounded memo.
     """
-    arrow_rows(docs.sparkSession, 500)
+    arrow_rows(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, " + "ids binary, decoded string, " * payload + "n_tokens long, ids_sha256 string, decoded_sha256 string"
 

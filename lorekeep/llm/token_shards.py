@@ -198,7 +198,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int | N
     shard.  Rows are dealt by ranges of the id, and each task streams one shard,
     so memory is one Arrow batch.
     """
-    arrow_rows(docs.sparkSession, 500)
+    arrow_rows(docs.sparkSession)
     n = shards or partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))

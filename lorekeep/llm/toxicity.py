@@ -141,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     same rows.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 500)
+    arrow_rows(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(train)
     known = known.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__y")).orderBy(F.xxhash64(id_col), id_col).limit(labelled_rows)
     texts = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -248,7 +248,7 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_
     Null and empty texts match nothing and get the curve's lowest score;
     repeated rows and null ids stay; an empty table gives none.
     """
-    arrow_rows(docs.sparkSession, 500)
+    arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     docs = docs.drop("score", "hits", "n_words") if keep else docs.select(id_col, text_col)
     at = docs.columns.index(text_col)

@@ -70,12 +70,34 @@ def test_rows_equal_brute_force(spark, monkeypatch):
     texts += [prose(3) + shared[1] + prose(3) for _ in range(40)]
     rows = [(i if i % 17 else None, t, "k") for i, t in enumerate(texts)]
     rows.append(rows[5])
+    rows += [(None, shared[2], "k")] * 50  # identical rows without an id
     want = sorted((str(i), *b) for (i, _, _), b in zip(rows, brute([(t or "").encode() for _, t, _ in rows])))
     df = spark.createDataFrame(rows, "doc_id long, text string, r1 string").repartition(3)
-    for hot in (256, 3):
+    for hot, block in ((256, 256 << 10), (3, 2_000)):
         monkeypatch.setattr(substrings, "HOT", hot)
+        monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
         out = substrings.drop_repeats(df)
         got = sorted((str(r[0]), *tuple(r)[1:5]) for r in out.collect())
         assert got == want
     assert sum(w[2] > 0 for w in want) > 40
     assert substrings.drop_repeats(df.limit(0)).count() == 0
+    for r in out.where("doc_id is not null").collect():
+        assert bytes(r["kept"]).decode(errors="replace") == r["text"] and r["has_repeats"] == (r["n_removed"] > 0)
+
+
+def test_pieces_of_long_texts_join_at_their_seams(monkeypatch):
+    data = np.random.default_rng(4).integers(97, 123, 3000).astype(np.uint8)
+    whole = substrings.window_runs(data, 400)
+    monkeypatch.setattr(substrings, "PIECE", 700)
+    a, b, g = substrings.window_runs(data, 400)
+    assert a[0] == 0 and b[-1] == 2600 and (a[1:] == b[:-1] + 1).all()
+    # Each window has the anchor it had, only runs are cut at the seams.
+    gram = lambda x: np.repeat(x[2], x[1] - x[0] + 1)
+    assert (gram((a, b, g)) == gram(whole)).all()
+
+
+def test_windows_whose_hashes_collide_are_told_apart_by_bytes():
+    texts = [b"abcd", b"abxx", b"abcd", b"zzzz"]
+    who, place = np.arange(4), np.zeros(4, int)
+    code, gram = np.zeros(4, np.uint64), np.zeros(4, np.int64)
+    assert substrings._verified(texts, who, place, code, gram, 4).tolist() == [True, False, True, False]
