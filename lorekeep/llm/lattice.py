@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import arrow_rows, connected_components, settle
+from lorekeep.llm.common import arrow_rows, connected_components, partitions, release, settle
 
 
 def _d8(x: np.ndarray) -> np.ndarray:
@@ -78,133 +78,197 @@ class Tables:
 
     def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Home cells (n, tables) and probed cells (n, tables, probes)."""
-        each = [cells(unit @ plane + shift, self.probes) for plane, shift in self.planes]
+        # Rounded, so that a row's cells do not depend on the rows it is multiplied with.
+        each = [cells(np.round(unit @ plane + shift, 7), self.probes) for plane, shift in self.planes]
         return np.stack([h for h, _ in each], axis=1), np.stack([p for _, p in each], axis=1)
 
 
-def _found(a: int, b: int, home: np.ndarray, near: np.ndarray, table: int) -> bool:
-    """Whether rows a and b meet in a table: the same cell, or either probes the other's."""
-    return home[a, table] == home[b, table] or home[a, table] in near[b, table] or home[b, table] in near[a, table]
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one; divided by their largest component first, so that no square overflows or vanishes."""
+    unit = v / np.abs(v).max(axis=1, keepdims=True)
+    return unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = 6, probes: int = 12, scale: float = 2.6, cell_rows: int = 1_500) -> DataFrame:
+def _meet(x: np.ndarray, y: np.ndarray, home: np.ndarray, near: np.ndarray, t: int) -> np.ndarray:
+    """Which pairs of rows meet in table t: the same cell, or either probes the other's."""
+    hx, hy = home[x, t], home[y, t]
+    return (hx == hy) | (near[x, t] == hy[:, None]).any(axis=1) | (near[y, t] == hx[:, None]).any(axis=1)
+
+
+def _first_meeting(x: np.ndarray, y: np.ndarray, tab: np.ndarray, x_home: np.ndarray, y_home: np.ndarray, home: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Which pairs are counted where they were found: in their first table, and of two cells there in the lower one."""
+    first = np.ones(len(x), bool)
+    for t in range(home.shape[1] - 1):
+        later = np.flatnonzero(first & (tab > t))
+        first[later] = ~_meet(x[later], y[later], home, near, t)
+    mixed = np.flatnonzero(first & ~(x_home & y_home))
+    a, b, t = x[mixed], y[mixed], tab[mixed]
+    ha, hb = home[a, t], home[b, t]
+    both = (near[a, t] == hb[:, None]).any(axis=1) & (near[b, t] == ha[:, None]).any(axis=1)
+    first[mixed] = ~both | (np.minimum(ha, hb) == np.where(x_home[mixed], ha, hb))
+    return first
+
+
+#: Units up to so many rows are compared together, pair by pair; larger ones by a matrix product each.
+SMALL_UNIT = 48
+PAIRS_AT_ONCE = 200_000
+
+
+def _close_pairs(unit: np.ndarray, groups: np.ndarray, chunk: np.ndarray, ends: tuple[np.ndarray, np.ndarray], home: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row) of one group with a cosine of ``least`` or more, one of them at home; rows lie sorted by group.
+
+    ends: the two chunks that a row's group compares, which may be the same.
+    """
+    n = len(groups)
+    starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if n else np.array([], np.int64)
+    sizes = np.diff(np.concatenate([starts, [n]]))
+    whole = ends[0] == ends[1]
+    small = np.repeat(sizes <= SMALL_UNIT, sizes)
+    for d in range(1, int(sizes[sizes <= SMALL_UNIT].max(initial=1))):
+        k = np.flatnonzero(small[:-d] & (groups[:-d] == groups[d:]) & (home[:-d] | home[d:]) & (whole[:-d] | (chunk[:-d] != chunk[d:])))
+        for at in range(0, len(k), PAIRS_AT_ONCE):
+            x = k[at : at + PAIRS_AT_ONCE]
+            good = x[np.einsum("ij,ij->i", unit[x], unit[x + d]) >= least]
+            if len(good):
+                yield good, good + d
+    for start, size in zip(starts[sizes > SMALL_UNIT].tolist(), sizes[sizes > SMALL_UNIT].tolist()):
+        rows = np.arange(start, start + size)
+        left, right = rows[chunk[rows] == ends[0][start]], rows[chunk[rows] == ends[1][start]]
+        for at in range(0, len(left), 512):
+            block = left[at : at + 512]
+            a, b = np.nonzero(unit[block] @ unit[right].T >= least)
+            a, b = block[a], right[b]
+            ok = ((a < b) if whole[start] else (a != b)) & (home[a] | home[b])
+            if ok.any():
+                yield a[ok], b[ok]
+
+
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = 6, probes: int = 12, scale: float = 2.6, cell_rows: int = 1_500, task_rows: int = 20_000) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors with equal labels (not null) link at a cosine of ``least`` or more.
     Null, zero-length, zero and non-finite vectors (or components) link with
     nothing, and so do vectors with a null label; vectors of different sizes are
-    never compared.  Rows with a null id are left out; a repeated id keeps its
-    rows, which count as different vectors.  An empty table gives none.
+    never compared.  A repeated id keeps its rows, which count as different
+    vectors; a null id links like any other, and its component is the smallest
+    id it reaches, null if there is none (then it is kept).  An empty table
+    gives none.
 
     Equal vectors of a label are one class, however many they are; classes are
     dealt to their home cell and to probed neighbours in each table.  A pair is
     counted in the first table where it meets, which both rows' cells tell, so
     n_links needs no list of pairs; components take one spanning link per row
-    and cell.  Cells over ``cell_rows`` rows are cut into chunks.
+    and task.  Cells over ``cell_rows`` rows are cut into chunks; a task takes
+    many cells, about ``task_rows`` rows.
     """
     spark = vectors.sparkSession
     arrow_rows(spark)
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     marked = settle(rows.withColumn("key", F.when(sound, F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256))), "vectors")
-    classes = marked.where("key is not null").groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min_by("v", "id").alias("v"))
-    classes = settle(classes, "classes")
+    classes = marked.where("key is not null").groupBy("label", "key").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("v").alias("v"))
+    # A number for each class, fixed once the table is written.
+    classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     dims = [r[0] for r in classes.select(F.size("v").alias("d")).distinct().collect()]
+    made = {d: Tables(d, tables, scale, probes) for d in dims}
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(batch.column(3).offsets.to_numpy())
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
             for dim in np.unique(sizes):
                 at = np.nonzero(sizes == dim)[0]
                 first = np.concatenate([[0], np.cumsum(sizes)[:-1]])[at]
-                v = flat[first[:, None] + np.arange(dim)]
-                # Halves of the largest component first, so that no square overflows or vanishes.
-                unit = v / np.abs(v).max(axis=1, keepdims=True)
-                unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-                home, near = made[int(dim)].cells(unit)
+                home, near = made[int(dim)].cells(_unit(flat[first[:, None] + np.arange(dim)]))
                 n, t = home.shape
                 # A row per visited cell: the home, and each probed one.
-                table = np.repeat(np.tile(np.arange(t, dtype=np.int32), n), probes + 1)
+                table = np.tile(np.repeat(np.arange(t, dtype=np.int32), probes + 1), n)
                 cell = np.concatenate([home[:, :, None], near], axis=2).reshape(-1)
                 is_home = np.tile(np.arange(probes + 1) == 0, n * t)
-                who = np.repeat(at, t * (probes + 1))
-                take = pa.array(who)
-                # Only homes carry their vectors to the cell: a probe is looked up by its class.
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.full(len(who), dim, np.int32)), pa.array(table), pa.array(cell), pa.array(is_home), batch.column(1).take(take)], names=["label", "dim", "tab", "cell", "home", "rep"])
+                take = pa.array(np.repeat(at, t * (probes + 1)))
+                # Vectors follow only to cells where two classes meet.
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.full(len(cell), dim, np.int32)), pa.array(table), pa.array(cell), pa.array(is_home), batch.column(1).take(take)], names=["label", "dim", "tab", "cell", "home", "rep"])
 
-    made = {d: Tables(d, tables, scale, probes) for d in dims}
-    visits = classes.select("label", "rep", "n", "v").mapInArrow(hashed, "label string, dim int, tab int, cell long, home boolean, rep long")
+    visits = classes.select("label", "rep", "v").mapInArrow(hashed, "label string, dim int, tab int, cell long, home boolean, rep long")
     visits = settle(visits, "visits")
-    # A cell that one class alone visits finds nothing; the others are numbered to take their vectors.
     busy = visits.groupBy("label", "dim", "tab", "cell").agg(F.count("*").alias("size"), F.sum(F.col("home").cast("long")).alias("homes")).where("size > 1 and homes > 0")
-    busy = busy.withColumn("g", F.ceil(F.col("size") / cell_rows).cast("int"))
-    kept = visits.join(busy, ["label", "dim", "tab", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    busy = settle(busy.select("label", "dim", "tab", "cell", F.ceil(F.col("size") / cell_rows).cast("int").alias("g"), "size"), "busy")
+    total = busy.agg(F.sum(F.col("size") * F.col("g"))).first()[0] or 0
+    buckets = int(max(partitions(spark), -(-total // task_rows)))
+    kept = visits.join(busy.drop("size"), ["label", "dim", "tab", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     kept = kept.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     kept = kept.select("label", "dim", "tab", "cell", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "chunk", "home", "rep")
-    placed = kept.join(classes.select("rep", "n", "v"), "rep")
+    placed = kept.join(classes.select("rep", "n", "v"), "rep").withColumn("bucket", F.pmod(F.xxhash64("label", "tab", "cell", "i", "j"), F.lit(buckets)).cast("int"))
 
     def match(table: pa.Table) -> pa.Table:
-        rep, n, chunk, home = (table[c].to_numpy() for c in ("rep", "n", "chunk", "home"))
-        i, j, tab, dim = (table[c][0].as_py() for c in ("i", "j", "tab", "dim"))
-        v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), dim)
-        unit = v / np.abs(v).max(axis=1, keepdims=True)
-        unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-        left, right = np.nonzero(chunk == i)[0], np.nonzero(chunk == j)[0]
-        cells_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def codes(k: int) -> tuple[np.ndarray, np.ndarray]:
-            if k not in cells_of:
-                h, p = made[dim].cells(unit[k : k + 1])
-                cells_of[k] = h[0], p[0]
-            return cells_of[k]
-
-        def meets(a: int, b: int, t: int) -> bool:
-            (ha, pa_), (hb, pb) = codes(a), codes(b)
-            return bool(ha[t] == hb[t] or (pa_[t] == hb[t]).any() or (pb[t] == ha[t]).any())
-
-        links = np.zeros(len(rep), np.int64)
-        parent = list(range(len(rep)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        src, dst = [], []
-        for at in range(0, len(left), 512):
-            block = left[at : at + 512]
-            a, b = np.nonzero(unit[block] @ unit[right].T >= least)
-            a, b = block[a], right[b]
-            ok = (a < b if i == j else rep[a] != rep[b]) & (home[a] | home[b])
-            for x, y in zip(a[ok].tolist(), b[ok].tolist()):
-                if rep[x] == rep[y] or any(meets(x, y, t) for t in range(tab)):
-                    continue
-                if not (home[x] and home[y]) and not _counts_here(codes(x), codes(y), tab, bool(home[x])):
-                    continue
-                links[x] += n[y]
-                links[y] += n[x]
-                p, q = root(x), root(y)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    src.append(rep[x])
-                    dst.append(rep[y])
+        table = table.combine_chunks()
+        dim = table["dim"][0].as_py()
+        label = table["label"].combine_chunks().dictionary_encode()
+        label = (label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy(zero_copy_only=False)
+        keys = [table[c].to_numpy() for c in ("j", "i", "cell", "tab")]
+        order = np.lexsort((*keys, label))
+        j, i, cell, tab = (k[order] for k in keys)
+        label = label[order]
+        rep, n, chunk, home = (table[c].to_numpy()[order] for c in ("rep", "n", "chunk", "home"))
+        home = home.astype(bool)
+        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), dim)
+        unit = _unit(flat)[order]
+        new = np.zeros(len(rep), bool)
+        for k in (label, tab, cell, i, j):
+            new[1:] |= k[1:] != k[:-1]
+        found = list(_close_pairs(unit, np.cumsum(new), chunk, (i, j), home, least))
+        x = np.concatenate([a for a, _ in found]) if found else np.array([], np.int64)
+        y = np.concatenate([b for _, b in found]) if found else np.array([], np.int64)
+        x, y = x[rep[x] != rep[y]], y[rep[x] != rep[y]]
+        links = np.zeros(0, np.int64)
+        who = np.unique(rep[np.concatenate([x, y])])
+        if len(x):
+            # Cells are worked out anew only for rows that have a partner, each once.
+            some, back = np.unique(rep, return_index=True)
+            at = back[np.searchsorted(some, who)]
+            px, py = np.searchsorted(who, rep[x]), np.searchsorted(who, rep[y])
+            first = np.zeros(len(x), bool)
+            homes, nears = made[dim].cells(unit[at])
+            for k in range(0, len(x), PAIRS_AT_ONCE):
+                s = slice(k, k + PAIRS_AT_ONCE)
+                first[s] = _first_meeting(px[s], py[s], tab[x[s]], home[x[s]], home[y[s]], homes, nears)
+            px, py, wx, wy = px[first], py[first], n[y[first]], n[x[first]]
+            links = np.bincount(px, wx, len(who)).astype(np.int64) + np.bincount(py, wy, len(who)).astype(np.int64)
+        else:
+            px = py = np.array([], np.int64)
+        src, dst = _spanning(px, py, len(who))
         some = np.nonzero(links)[0]
-        return pa.table({"src": pa.array(np.concatenate([rep[some], np.array(src, np.int64)])), "dst": pa.array([None] * len(some) + [int(d) for d in dst], pa.int64()), "links": pa.array(np.concatenate([links[some], np.zeros(len(src), np.int64)]))})
+        nothing = pa.nulls(len(some), pa.int64())
+        return pa.table({"src": pa.array(np.concatenate([who[some], who[src]]).astype(np.int64)), "dst": pa.chunked_array([nothing, pa.array(who[dst].astype(np.int64))]), "links": pa.array(np.concatenate([links[some], np.zeros(len(src), np.int64)]))})
 
-    found = settle(placed.groupBy("label", "dim", "tab", "cell", "i", "j").applyInArrow(match, "src long, dst long, links long"), "found")
+    found = settle(placed.groupBy("dim", "bucket").applyInArrow(match, "src long, dst long, links long"), "found")
+    release(visits, busy)
     counts = found.groupBy("src").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("dst is not null").select("src", "dst"))
-    classes = classes.select("label", "key", "rep", "n").join(counts, F.col("rep") == F.col("src"), "left").drop("src").join(parts, F.col("rep") == F.col("node"), "left")
-    of_key = classes.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    classes = classes.select("label", "key", "rep", "n", "low").join(counts, F.col("rep") == F.col("src"), "left").drop("src").join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
+    least_id = classes.groupBy("part").agg(F.min("low").alias("component_id"))
+    of_key = classes.select("label", "key", "part", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")).join(least_id, "part")
     out = marked.select("id", "label", "key").join(of_key, ["label", "key"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
-
-
-def _counts_here(x: tuple, y: tuple, tab: int, x_home: bool) -> bool:
-    """A pair of different cells in a table may meet in both homes; it counts where the lower cell is home."""
-    hx, hy = int(x[0][tab]), int(y[0][tab])
-    both = bool((x[1][tab] == hy).any() and (y[1][tab] == hx).any())
-    return not both or (min(hx, hy) == (hx if x_home else hy))
+    # A vector that links with nothing is its own component, whether it has an id or not.
+    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the graph of n nodes: its nodes, each with the least node of its part."""
+    low = np.arange(n)
+    while len(a):
+        la, lb = low[a], low[b]
+        apart = la != lb
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        hi, lo = np.maximum(la[apart], lb[apart]), np.minimum(la[apart], lb[apart])
+        np.minimum.at(low, hi, lo)
+        while True:
+            up = low[low]
+            if (up == low).all():
+                break
+            low = up
+    src = np.flatnonzero(low != np.arange(n))
+    return src, low[src]
