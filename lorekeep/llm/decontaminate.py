@@ -2,39 +2,44 @@
 
 The test items are the index; every passage of every document is a query.  An
 item's score is its share of the most it could score (all its own words), so
-one threshold holds for short and long items.  Items lie in blocks; the index
-keeps, for each term, the largest share in each block.  A passage adds these
-up, skips every block whose bound stays under the threshold (its items cannot
-reach it), and walks the others item by item, leaving an item as soon as what
-is left of its terms cannot lift it over the threshold.  So all items at or
-above the threshold are found.  A hit counts if the passage really holds the
-item's question and answer: shares of their five-word shingles.
+one threshold holds for short and long items.  Postings are in item order, and
+items lie in blocks; the index keeps, for each term, its largest share of all
+and in each block.  A passage opens a cursor on each of its terms.  The pivot is
+the first item at which the cursors up to it could reach the threshold; if the
+block maxima around the pivot cannot, all cursors skip to the next block that
+can.  So all items at or above the threshold are found (block-max WAND).  A hit
+counts if the passage really holds the item's question and answer: shares of
+their five-word shingles.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import arrow_rows
+from lorekeep.llm.common import arrow_rows, settle
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 K1, B = 1.2, 0.75
+#: Text in one broadcast index, which takes several times as much memory.
+INDEX_BYTES = 8 << 20
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def shingles(words: list[str], n: int = 5) -> set[tuple[str, ...]]:
+def shingles(words: list, n: int = 5) -> set[tuple]:
     """Runs of n words; of fewer words, the whole run."""
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
@@ -49,73 +54,133 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Figures of all test items, whatever part of them an index holds."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+    @staticmethod
+    def of(texts: list[list[str]]) -> Statistics:
+        return Statistics(len(texts), sum(map(len, texts)) / max(1, len(texts)), max(map(len, texts), default=0), Counter(w for ws in texts for w in set(ws)))
+
+
 class BlockMaxIndex:
-    """Inverted index of (item id, text) with per-block maxima; ids that repeat stay apart by position."""
+    """Inverted index of (item id, text) with per-block maxima; ids that repeat stay apart by position.
+
+    ``statistics`` are those of all items when this index holds a part of them,
+    so that scores and passages do not depend on the parting.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], block: int = 8):
-        texts = [(i, words_of(t), t) for i, t in items]
+    def __init__(self, items: list[tuple[int, str]], block: int = 4, statistics: Statistics | None = None):
+        texts = [(i, ws, t) for i, t in items if (ws := words_of(t))]
+        known = statistics or Statistics.of([ws for _, ws, _ in texts])
+        df, n, mean = known.df, max(1, known.n), known.mean
         # Neighbours in a block share words if they share a language: sorting by frequent words keeps bounds tight.
-        df = Counter(w for _, ws, _ in texts for w in set(ws))
-        texts = sorted((t for t in texts if t[1]), key=lambda t: (sorted(set(t[1]), key=lambda w: (-df[w], w))[:4], t[0]))
-        n = max(1, len(texts))
-        mean = sum(len(ws) for _, ws, _ in texts) / n
-        self.block, self.ids = block, [i for i, _, _ in texts]
-        self.longest = max((len(ws) for _, ws, _ in texts), default=0)
-        self.parts = []
-        self.terms: list[dict[str, float]] = []
-        maxima: dict[str, dict[int, float]] = defaultdict(dict)
+        texts.sort(key=lambda t: (sorted(set(t[1]), key=lambda w: (-df[w], w))[:4], t[0], t[2]))
+        self.block, self.ids, self.longest = block, [i for i, _, _ in texts], known.longest
+        self.vocabulary: dict[str, int] = {}
+        self.texts: list[tuple[np.ndarray, int]] = []
+        postings: list[list[tuple[int, float]]] = []
         for k, (_, ws, text) in enumerate(texts):
             tf = Counter(ws)
             gain = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(ws) / mean)) for w, c in tf.items()}
-            whole = sum(gain.values())
-            share = {w: g / whole for w, g in gain.items()}
-            # The heaviest terms first, so that a hopeless item is left early.
-            self.terms.append(dict(sorted(share.items(), key=lambda e: -e[1])))
-            q, a = question_and_answer(text)
-            self.parts.append((shingles(q), shingles(a), shingles(ws)))
-            for w, s in share.items():
-                maxima[w][k // block] = max(maxima[w].get(k // block, 0.0), s)
+            whole = math.fsum(gain.values())
+            for w, g in gain.items():
+                at = self.vocabulary.setdefault(w, len(postings))
+                if at == len(postings):
+                    postings.append([])
+                postings[at].append((k, g / whole))
+            q, _ = question_and_answer(text)
+            self.texts.append((np.array([self.vocabulary[w] for w in ws], np.int32), len(q)))
         self.blocks = -(-len(texts) // block)
-        self.at = {w: (np.array(list(m), np.int64), np.array(list(m.values()))) for w, m in maxima.items()}
+        self.items = [[k for k, _ in own] for own in postings]
+        self.shares = [[s for _, s in own] for own in postings]
+        self.most = [max(own) for own in self.shares]
+        self.maxima = []
+        for own in postings:
+            top: dict[int, float] = {}
+            for k, s in own:
+                top[k // block] = max(top.get(k // block, 0.0), s)
+            self.maxima.append((np.array(list(top), np.int64), np.array(list(top.values()))))
 
-    def search(self, passage: set[str], threshold: float) -> list[tuple[int, float]]:
-        """All (position, score) at or above the threshold; passage: its distinct words that the index knows."""
-        if not passage:
+    def search(self, terms: set[int], threshold: float) -> list[tuple[int, float]]:
+        """All (position, score) at or above the threshold; terms: the passage's distinct words that the index knows."""
+        if not terms:
             return []
-        rows = [self.at[w] for w in passage]
+        least = threshold - 1e-9
+        rows = [self.maxima[t] for t in terms]
         bounds = np.bincount(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), self.blocks)
+        live = np.flatnonzero(bounds >= least)
+        return self._wand(sorted(terms), live.tolist(), least) if len(live) else []
+
+    def _wand(self, terms: list[int], live: list[int], least: float) -> list[tuple[int, float]]:
+        """Cursors in item order over the blocks that can reach the threshold."""
+        size, able = self.block, set(live)
+        cursors: list[list[int]] = []  # [item, term, place in its postings]
+
+        def seek(cursor: list[int], item: int) -> bool:
+            """Moves to the first posting at ``item`` or after it; False at the end."""
+            own = self.items[cursor[1]]
+            at = bisect_left(own, item, cursor[2])
+            if at == len(own):
+                return False
+            cursor[0], cursor[2] = own[at], at
+            return True
+
+        for t in terms:
+            cursor = [-1, t, 0]
+            if seek(cursor, live[0] * size):
+                cursors.append(cursor)
         found = []
-        for b in np.nonzero(bounds >= threshold - 1e-9)[0].tolist():
-            for k in range(b * self.block, min(len(self.ids), (b + 1) * self.block)):
-                score, left = 0.0, 1.0
-                for w, s in self.terms[k].items():
-                    left -= s
-                    if w in passage:
-                        score += s
-                    elif score + left < threshold - 1e-9:
-                        break
-                if score >= threshold - 1e-9:
-                    found.append((k, score))
+        while cursors:
+            cursors.sort()
+            reach = 0.0
+            for p, cursor in enumerate(cursors):
+                reach += self.most[cursor[1]]
+                if reach >= least:
+                    break
+            else:
+                break
+            pivot = cursors[p][0]
+            if pivot // size not in able:
+                # No item of this block, nor of those up to the next able one, can reach it.
+                nxt = bisect_left(live, pivot // size)
+                if nxt == len(live):
+                    break
+                goal = live[nxt] * size
+                cursors = [c for c in cursors if c[0] >= goal or seek(c, goal)]
+            elif cursors[0][0] < pivot:
+                cursors = [c for c in cursors if c[0] >= pivot or seek(c, pivot)]
+            else:
+                # Exact sums do not depend on the order of the terms.
+                score = math.fsum(self.shares[c[1]][c[2]] for c in cursors if c[0] == pivot)
+                if score >= least:
+                    found.append((pivot, score))
+                cursors = [c for c in cursors if c[0] > pivot or seek(c, pivot + 1)]
         return found
 
     def leaks(self, text: str | None, threshold: float, overlap: float, passage_words: int, part_overlap: float | None = None) -> list[tuple[int, float, float, float]]:
         """(item id, BM25 share, question overlap, answer overlap) of the items that a text holds."""
-        words = words_of(text)
+        words = [self.vocabulary.get(w, -1) for w in words_of(text)]
         parts = overlap / 2 if part_overlap is None else part_overlap
-        known = self.at
         size = max(passage_words, 2 * self.longest)
         step = size // 2
         best: dict[int, tuple[float, float, float]] = {}
         for start in range(0, max(1, len(words) - size + step), step) if words else ():
             window = words[start : start + size]
-            hits = self.search({w for w in set(window) if w in known}, threshold)
+            hits = self.search(set(window) - {-1}, threshold)
             if not hits:
                 continue
             grams: dict[int, set] = {}
             for k, score in hits:
-                q, a, both = self.parts[k]
+                item, cut = self.texts[k]
                 share = []
-                for own in (q, a, both):
+                for own in (item[:cut], item[cut:], item):
+                    own = shingles(own.tolist())
                     held = 0
                     for g in own:
                         if len(g) not in grams:
@@ -140,8 +205,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     unless given.  A short answer has few shingles, or one, and an edited word
     breaks them all: with 0 the overlap of the whole item decides.
 
-    The index is broadcast in parts of at most ``index_items`` items and 64 MB of
-    text, one pass over the documents for each part.
+    The index is broadcast in parts of at most ``index_items`` items and
+    ``INDEX_BYTES`` of text, one pass over the documents for each part; word
+    statistics are those of all items, so the parting changes nothing.
     """
     arrow_rows(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -181,10 +247,21 @@ def drop_leaky(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
 
 def _indexes(items: DataFrame, item_id: str, item_text: str, index_items: int) -> Iterator:
     """Broadcast indexes over the test items, each of bounded size."""
-    usable = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
-    size = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
-    parts = max(1, -(-size["n"] // index_items), -(-size["b"] // (64 << 20)))
+    spark = items.sparkSession
+    usable = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).distinct()
+
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], names=["i", "t", "n", "words"])
+
+    usable = settle(usable.mapInArrow(tokenised, "i long, t string, n long, words array<string>").where("n > 0"), "items")
+    size = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"), F.coalesce(F.max("n"), F.lit(0)).alias("longest")).first()
+    counts = settle(usable.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df")), "words")
+    parts = max(1, -(-size["n"] // index_items), -(-size["b"] // INDEX_BYTES))
     for k in range(parts):
-        # Bounded by the part's size above.
-        rows = usable.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).distinct().orderBy("i", "t").collect()
-        yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex([(r["i"], r["t"]) for r in rows]))
+        own = usable.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
+        # Both bounded by the part's size above.
+        rows = own.select("i", "t").orderBy("i", "t").collect()
+        df = {r["w"]: r["df"] for r in counts.join(own.select(F.explode("words").alias("w")).distinct(), "w").collect()}
+        yield spark.sparkContext.broadcast(BlockMaxIndex([(r["i"], r["t"]) for r in rows], statistics=Statistics(size["n"], size["mean"], size["longest"], df)))

@@ -30,10 +30,21 @@ def test_search_finds_all_above_the_threshold():
         passage = set(rnd.sample(vocab, rnd.randint(0, 40)))
         for threshold in (0.3, 0.6):
             want = {i for i, s in brute_scores(items, passage).items() if s >= threshold}
-            got = {index.ids[k] for k, _ in index.search({w for w in passage if w in index.at}, threshold)}
+            got = {index.ids[k] for k, _ in index.search({index.vocabulary[w] for w in passage if w in index.vocabulary}, threshold)}
             assert got == want
 
 
+def test_parted_indexes_score_and_find_as_one():
+    rnd, vocab, items = make()
+    known = dc.Statistics.of([dc.words_of(t) for _, t in items])
+    whole = dc.BlockMaxIndex(items)
+    parts = [dc.BlockMaxIndex(items[k::3], statistics=known) for k in range(3)]
+    for _ in range(100):
+        passage = set(rnd.sample(vocab, rnd.randint(5, 40)))
+        ask = lambda x: [(x.ids[k], s) for k, s in x.search({x.vocabulary[w] for w in passage if w in x.vocabulary}, 0.4)]
+        assert sorted(ask(whole)) == sorted(h for x in parts for h in ask(x))
+
+
 def test_leaks_equal_brute_force(spark):
     rnd, vocab, items = make()
     docs = []
@@ -63,9 +74,12 @@ def test_leaks_equal_brute_force(spark):
                 want.append((str(d), i))
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([*items, (None, "no id here at all"), (300, None), (301, "..."), items[3]], "item_id long, text string")
-    for tuning in ({}, {"index_items": 20}):
-        got = sorted((str(r["doc_id"]), r["item_id"]) for r in dc.find_leaks(df, bench, **tuning).collect())
-        assert got == sorted(want)
+    rows = []
+    for tuning in ({}, {"index_items": 20}, {"index_items": 7}):
+        rows.append(sorted((tuple(r) for r in dc.find_leaks(df, bench, **tuning).collect()), key=str))
+        assert sorted((str(r[0]), r[1]) for r in rows[-1]) == sorted(want)
+    # Scores are those of one index, however the items are parted.
+    assert rows[0] == rows[1] == rows[2]
     assert len(want) > 20
     assert dc.find_leaks(df.limit(0), bench).count() == 0
     assert dc.find_leaks(df, bench.limit(0)).count() == 0
