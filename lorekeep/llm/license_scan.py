@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
 import string
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.llm.common import settle
+
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -56,6 +59,18 @@ NOTICES = (
     _template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     _template("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute this software"),
     _template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    _template("cc-by-nc-sa", "licensed under cc by nc sa 4 0", "cc by nc sa"),
+    _template("cc-by-nc-nd", "licensed under cc by nc nd 4 0", "cc by nc nd"),
+    _template("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
+    _template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
+    _template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    _template("wtfpl", "do what the fuck you want to public license", "you want to public license"),
+    _template("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    _template("odbl", "made available under the open database license", "open database license"),
+    _template("eupl-1.2", "licensed under the european union public licence version 1 2", "european union public licence"),
+    _template("artistic-2.0", "licensed under the terms of the artistic license 2 0", "artistic license 2 0"),
+    _template("proprietary", "unauthorized copying of this file via any medium is strictly prohibited", "unauthorized copying of this file"),
+    _template("no-redistribution", "no part of this publication may be reproduced stored in a retrieval system or transmitted in any form", "no part of this publication may be reproduced"),
 )
 
 
@@ -73,51 +88,72 @@ def word_idf(docs: DataFrame, vocabulary: list[str], text_col: str = "text") ->
     return {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1.0 for w in vocabulary}
 
 
+#: Words that a template is posted under, and template words a broadcast may hold.
+POSTED, BROADCAST_WORDS = 3, 200_000
+
+
+def _index(spark: SparkSession, templates: tuple[Template, ...], idf: dict[str, float]) -> tuple[DataFrame, list[str]]:
+    """A row per template, and the words looked up.
+
+    Columns: its rarest decisive word w and that word's offset, the other posted
+    words, all words with their weights, and the decisive runs.
+    """
+    rows = []
+    for number, t in enumerate(templates):
+        decisive = sorted({j for at, n in t.must for j in range(at, at + n)}, key=lambda j: (-idf[t.words[j]], t.words[j], j))
+        posted = [{"j": j, "w": t.words[j]} for j in decisive[:POSTED]]
+        must = [{"j": at, "words": t.words[at : at + n]} for at, n in t.must]
+        rows.append({"template": number, "label": t.label, "base": t.base, "w": posted[0]["w"], "offset": posted[0]["j"], "others": posted[1:], "words": t.words, "weights": [idf[w] for w in t.words], "must": must})
+    kind = "array<struct<template:int,label:string,base:boolean,w:string,offset:int,others:array<struct<j:int,w:string>>,words:array<string>,weights:array<double>,must:array<struct<j:int,words:array<string>>>>>"
+    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("t")).select("t.*")
+    return table, sorted({r["w"] for r in rows})
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = BASE + NOTICES, least: float = 0.6) -> DataFrame:
     """One row per input row: id, n_words, matches (array of label, base, start, score).
 
-    Each template is posted under its rarest decisive word, by IDF over all
-    documents, with that word's position.  A text's postings give the places
-    where the template would have to start; the other words' positions are
-    intersected relative to it.  A match needs all decisive runs word by word
-    and, but for base templates, words worth ``least`` of the template's IDF.
-
-    Null and empty texts have no words and no match; repeated rows and null ids
-    stay; other columns are ignored; an empty table gives none.
+    Each template is posted under its rarest decisive words, by IDF over all
+    documents, with their offsets.  A text's places of the rarest one are looked
+    up in the postings: they tell where the template would have to start.  The
+    other posted words must stand at their offsets from there, then every
+    decisive run word by word, and, but for base templates, words worth
+    ``least`` of the template's IDF.
+
+    The postings are a table and templates are its rows: any number of them is
+    one plan.  Places carry the words around them, as many as the longest
+    template has, so no text is gathered or shuffled; copies of a text are
+    matched by its hash.  Null and empty texts have no words and no match;
+    repeated rows and null ids stay; other columns are ignored; an empty table
+    gives none.
     """
+    spark = docs.sparkSession
     vocabulary = sorted({w for t in templates for w in t.words})
     idf = word_idf(docs, vocabulary, text_col)
-    anchors = [max((j for at, n in t.must for j in range(at, at + n)), key=lambda j: (idf[t.words[j]], t.words[j], -j)) for t in templates]
-    rare = sorted({t.words[a] for t, a in zip(templates, anchors)})
-    rows = docs.select(F.col(id_col), words_of(F.col(text_col)).alias("words"))
-    rows = rows.withColumn("any", F.arrays_overlap("words", F.lit(rare)))
-    spots = F.when(F.col("any"), F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: s["w"].isin(rare)))
-    rows = rows.withColumn("spots", F.coalesce(spots, F.array().cast("array<struct<i:int,w:string>>")))
-
-    def found(t: Template, a: int) -> Column:
-        starts = F.transform(F.filter("spots", lambda s: (s["w"] == t.words[a]) & (s["i"] >= a)), lambda s: s["i"] - a)
-        whole = sum(idf[w] for w in t.words)
-
-        def fits(s: Column) -> Column:
-            ok = F.lit(True)
-            for at, n in t.must:
-                ok = ok & (F.slice("words", s + (at + 1), n) == F.lit(list(t.words[at : at + n])))
-            return ok
-
-        def share(s: Column) -> Column:
-            if t.base:
-                return F.lit(1.0)
-            got = F.lit(0.0)
-            for j, w in enumerate(t.words):
-                got = got + F.when(F.get("words", s + j) == w, F.lit(idf[w])).otherwise(F.lit(0.0))
-            return F.least(F.lit(1.0), got / whole)
-
-        hits = F.transform(F.filter(starts, fits), lambda s: F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.alias("start"), share(s).alias("score")))
-        return hits if t.base else F.filter(hits, lambda h: h["score"] >= least)
-
+    index, rare = _index(spark, templates, idf)
+    reach = max(len(t.words) for t in templates)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), words_of(F.col(text_col)).alias("words"))
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
+    # Most texts hold none of the posted words: one test spares them the places.
+    rows = rows.withColumn("at", F.when(F.arrays_overlap("words", F.lit(rare)), places))
+    around = F.transform("at", lambda i: F.struct(i.alias("i"), F.get("words", i).alias("w"), F.least(i, F.lit(reach - 1)).alias("left"), F.slice("words", F.greatest(i - (reach - 2), F.lit(1)), F.least(i, F.lit(reach - 1)) + reach).alias("near")))
+    rows = settle(rows.select("id", "h1", "h2", F.size("words").cast("long").alias("n_words"), around.alias("places")), "licence-places")
+    spots = rows.where("places is not null").select("h1", "h2", F.explode("places").alias("p")).select("h1", "h2", "p.*")
+    # Postings are as many as the templates, whose size is counted here.
+    size = sum(len(t.words) for t in templates)
+    found = spots.join(F.broadcast(index) if size <= BROADCAST_WORDS else index, "w")
+    # A place of the near words: the template's start is left - offset.
+    found = found.withColumn("s", F.col("left") - F.col("offset")).where("s >= 0")
+    found = found.where(F.forall("others", lambda o: F.coalesce(F.get("near", F.col("s") + o["j"]) == o["w"], F.lit(False))))
+    found = found.where(F.forall("must", lambda m: F.slice("near", F.col("s") + m["j"] + 1, F.size(m["words"])) == m["words"]))
+    got = F.aggregate(F.transform("words", lambda w, j: F.when(F.get("near", F.col("s") + j) == w, F.get("weights", j)).otherwise(F.lit(0.0))), F.lit(0.0), lambda x, y: x + y)
+    share = F.least(F.lit(1.0), got / F.aggregate("weights", F.lit(0.0), lambda x, y: x + y))
+    found = found.select("h1", "h2", "template", "label", "base", (F.col("i") - F.col("offset")).alias("start"), F.when(F.col("base"), 1.0).otherwise(share).alias("score")).where(F.col("base") | (F.col("score") >= least))
+    matches = found.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("template", "start", "label", "base", "score"))).alias("m"))
+    matches = settle(matches, "licence-matches")
     kind = "array<struct<label:string,base:boolean,start:int,score:double>>"
-    matches = F.when(F.size("spots") > 0, F.concat(*[found(t, a) for t, a in zip(templates, anchors)])).otherwise(F.array().cast(kind)).cast(kind)
-    return rows.select(id_col, F.size("words").cast("long").alias("n_words"), matches.alias("matches"))
+    own = F.coalesce(F.transform("m", lambda x: F.struct(x["label"].alias("label"), x["base"].alias("base"), x["start"].alias("start"), x["score"].alias("score"))).cast(kind), F.array().cast(kind))
+    return rows.join(matches, ["h1", "h2"], "left").select(F.col("id").alias(id_col), "n_words", own.alias("matches"))
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -28,7 +28,8 @@ from lorekeep.llm.common import settle
 
 #: Tokens that look variable: numbers and whatever holds a digit, addresses.
 VARIABLE = r"\S*[0-9@]\S*"
-BROADCAST_ROWS = 1_000_000
+#: Rows of a hash and at most two short columns: some 10 MB of broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def _tree(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
@@ -156,5 +157,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = docs.withColumn("__key", F.xxhash64(F.col(text_col).cast("string")))
     joined = named.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
+    # What lies between neighbouring dropped lines is cut out in slices, so that the work is linear in the lines.
+    ends = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size(lines)))
+    between = F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda k: F.slice(lines, F.get(ends, k) + 2, F.get(ends, k + 1) - F.get(ends, k) - 1))
+    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(between), "\n"))
     return joined.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -149,7 +149,7 @@ class Forest:
         return True
 
 
-def link_fingerprints(fps: DataFrame, reach: int = 3, leaf_rows: int | None = None, sample_rows: int = 65_536, cell_rows: int = 8_000) -> DataFrame:
+def link_fingerprints(fps: DataFrame, reach: int = 3, leaf_rows: int | None = None, sample_rows: int = 65_536, cell_rows: int = 20_000) -> DataFrame:
     """Spanning links between distinct fingerprints at most ``reach`` bits apart.
 
     ``fps`` has fp and rep (long), one row per distinct fingerprint.  Returns
@@ -166,7 +166,7 @@ def link_fingerprints(fps: DataFrame, reach: int = 3, leaf_rows: int | None = No
     total = fps.count()
     if not total:
         return fps.select(F.col("rep").alias("src"), F.col("rep").alias("dst"))
-    leaf_rows = leaf_rows or max(1_000, int(6 * total**0.5))
+    leaf_rows = leaf_rows or min(cell_rows, max(1_000, int(6 * total**0.5)))
     sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).select("fp")
     tree = VpTree(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64), total, leaf_rows, reach)
     shared = spark.sparkContext.broadcast(tree)
@@ -188,6 +188,7 @@ def link_fingerprints(fps: DataFrame, reach: int = 3, leaf_rows: int | None = No
         cells = cells.unionByName(cut.select("leaf", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "chunk", "fp", "rep"))
 
     def match(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         fp, rep, chunk = table["fp"].to_numpy().view(np.uint64), table["rep"].to_numpy(), table["chunk"].to_numpy()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         forest, src, dst = Forest(len(fp)), [], []
@@ -207,12 +208,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links: fingerprints at most ``reach`` bits apart.  Equal fingerprints are
     grouped first, so that copies cost one row, however many they are.  Null
-    and empty texts have fingerprint zero and link like any other; rows with a
-    null id are left out, repeated ids keep one row each; an empty table gives none.
+    and empty texts have fingerprint zero and link like any other; repeated ids
+    keep one row each; a null id links like any other and is the smallest only
+    where no id is reached (then component_id is null); an empty table gives none.
     """
-    prints = settle(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words), "prints")
-    distinct = settle(prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")), "fps")
-    links = settle(link_fingerprints(distinct, reach), "links")
+    prints = settle(fingerprints(docs, id_col, text_col, words), "prints")
+    distinct = settle(prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("low")), "fps")
+    links = settle(link_fingerprints(distinct.select("fp", F.col("fp").alias("rep")), reach), "links")
     parts = connected_components(links)
-    classes = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
+    lows = classes.groupBy("part").agg(F.min("low").alias("component_id"))
+    return prints.join(classes.join(lows, "part").select("fp", "component_id"), "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

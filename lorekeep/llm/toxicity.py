@@ -15,7 +15,6 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import arrow_rows, settle
+from lorekeep.llm.common import arrow_rows, release, settle
 
 #: Look-alikes of Latin letters and digit substitutions (fixed values).
 HOMOGLYPHS = {
@@ -85,7 +84,10 @@ class Matcher:
 
     def weigh(self, text: str) -> tuple[float, int, int]:
         """(matched weight, matches, words) of a text; a word counts once, by its best entry."""
-        words = _WORD.findall(fold(text))
+        return self.weigh_words(_WORD.findall(fold(text)))
+
+    def weigh_words(self, words: list[str]) -> tuple[float, int, int]:
+        """weigh() of a text that is folded and cut into words."""
         if not words or not self.lexicon.entries:
             return 0.0, 0, len(words)
         line = f" {' '.join(words)} "
@@ -109,7 +111,10 @@ class Matcher:
 
     def features(self, text: str) -> tuple[float, float]:
         """Matched weight damped by logarithm, and matched weight per hundred words."""
-        total, _, words = self.weigh(text)
+        return self._features(*self.weigh(text))
+
+    @staticmethod
+    def _features(total: float, _: int, words: int) -> tuple[float, float]:
         return math.log1p(total), min(5.0, 100.0 * total / (words + 20))
 
     def score(self, text: str) -> float:
@@ -120,49 +125,54 @@ class Matcher:
 PREFIX_LENGTHS = (4, 5, 6)
 
 
-def _units(text: str) -> tuple[set[str], set[str]]:
-    """Entries a text could match, and its pairs of neighbouring words."""
-    words = _WORD.findall(fold(text))
+def _units(words: set[str]) -> set[str]:
+    """Entries that a text of these words could match."""
     units = set(words)
-    for w in set(words):
+    for w in words:
         units.update(f"{w[:n]}*" for n in PREFIX_LENGTHS if len(w) > n)
-    return units, {f"{a} {b}" for a, b in pairwise(words)}
+    return units
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_entries: int = 5_000, least_docs: int = 3, labelled_rows: int = 50_000) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least_docs: int = 3, labelled_rows: int = 50_000) -> Lexicon:
     """A lexicon from the labelled rows for which ``train`` (on the id) holds.
 
     At most ``labelled_rows`` of them are used, the first by hash of the id: so
     their ids may be broadcast, and no text is shuffled.  Of several labels of
     an id the highest counts.  Document frequencies of words, word beginnings
     and word pairs are counted by label (copies of a text count once); only
-    entries whose log-odds are clearly above zero come to the driver, at most
-    ``most_entries``.  The three numbers of the logistic curve are fitted on the
-    same rows.
+    entries whose log-odds are clearly above zero come to the driver, as many as
+    there are: the bound on the rows bounds them.  The three numbers of the
+    logistic curve are fitted on the same rows, which are folded once.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(train)
     known = known.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__y")).orderBy(F.xxhash64(id_col), id_col).limit(labelled_rows)
     texts = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = settle(texts.join(F.broadcast(known), id_col), "labelled")
+    rows = labelled = settle(texts.join(F.broadcast(known), id_col), "labelled")
     # Copies of one text would make all its words look alike: each text counts once for a label.
     firsts = rows.groupBy(F.xxhash64("text").alias("h"), "__y").agg(F.min(id_col).alias(id_col)).select(id_col)
-    rows = rows.join(F.broadcast(firsts), id_col, "left_semi")
+    rows = rows.join(F.broadcast(firsts), id_col, "left_semi").select("text", "__y")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(_WORD.findall(fold(t))) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["line", "__y"])
+
+    rows = settle(rows.mapInArrow(folded, "line string, __y int"), "folded")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Counts are combined before they are shuffled, in a table of bounded size.
         counts: dict[str, list[int]] = {}
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for u in _units(text)[0] | {""}:
+                for u in _units(set(text.split())) | {""}:
                     counts.setdefault(u, [0, 0])[y] += 1
             if len(counts) > 400_000:
                 yield _counted(counts)
                 counts = {}
         yield _counted(counts)
 
-    units = settle(rows.select("text", "__y").mapInArrow(split, "unit string, neg long, pos long").groupBy("unit").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where((F.col("pos") >= least_docs) | (F.col("unit") == "")), "units")
+    units = settle(rows.mapInArrow(split, "unit string, neg long, pos long").groupBy("unit").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where((F.col("pos") >= least_docs) | (F.col("unit") == "")), "units")
     total = units.where("unit = ''").first()
     if total is None or not total["pos"] or not total["neg"]:
         return Lexicon()
@@ -171,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     # Thousands of units are tried: 2.4 standard errors below, the log-odds still have to be positive.
     sure = odds - 2.4 * F.sqrt(1.0 / (F.col("pos") + 0.5) + 1.0 / (F.col("neg") + 0.5))
     ranked = units.where("unit <> ''").select("unit", "pos", "neg", odds.alias("odds"), sure.alias("sure")).where("odds > 1.8 and sure > 0")
-    found = ranked.orderBy(F.desc("sure"), "unit").limit(4 * most_entries).collect()
+    found = ranked.collect()
     entries: dict[str, float] = {}
     # Beginnings first: a word that adds nothing to its beginning is left out.
     for r in sorted(found, key=lambda r: (not r["unit"].endswith("*"), len(r["unit"]), r["unit"])):
@@ -180,20 +190,20 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
         shorter = [f"{stem[:n]}*" for n in PREFIX_LENGTHS if n < len(unit)]
         if not any(s in entries and entries[s] >= 0.8 * r["odds"] for s in shorter if s != unit):
             entries[unit] = float(r["odds"])
-    entries = dict(sorted(entries.items(), key=lambda e: (-e[1], e[0]))[:most_entries])
-    lexicon = Lexicon(entries)
+    lexicon = Lexicon(dict(sorted(entries.items(), key=lambda e: (-e[1], e[0]))))
     lexicon.exceptions = _learn_exceptions(rows, lexicon)
     matcher = spark.sparkContext.broadcast(lexicon)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(matcher.value)
         for batch in batches:
-            f = [m.features(t) for t in batch.column(0).to_pylist()]
+            f = [m._features(*m.weigh_words(t.split())) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), batch.column(1).cast(pa.int64())], names=["a", "b", "y"])
 
     # Hits are sparse: equal features are counted together before they come to the driver.
-    table = rows.select("text", "__y").mapInArrow(featured, "a double, b double, y long").groupBy(F.round("a", 3).alias("a"), F.round("b", 3).alias("b"), "y").count().collect()
-    lexicon.bias, lexicon.per_hit, lexicon.per_rate = _fit(table)
+    table = rows.mapInArrow(featured, "a double, b double, y long").groupBy(F.round("a", 3).alias("a"), F.round("b", 3).alias("b"), "y").count().collect()
+    lexicon.bias, lexicon.per_hit, lexicon.per_rate = _fit(sorted(table))
+    release(labelled, rows, units)
     return lexicon
 
 
@@ -202,7 +212,7 @@ def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns, schema=pa.schema([("unit", pa.string()), ("neg", pa.int64()), ("pos", pa.int64())]))
 
 
-def _learn_exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 5, most: int = 2_000) -> frozenset[str]:
+def _learn_exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 5) -> frozenset[str]:
     """Pairs around a lexicon word that are found in several documents, next to never in toxic ones."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -212,15 +222,15 @@ def _learn_exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 5, most: i
         for batch in batches:
             out, ys = [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = _WORD.findall(fold(text))
+                words = text.split()
                 at = [i for i, w in enumerate(words) if listed(w)]
                 around = {f"{words[i - 1]} {words[i]}" for i in at if i} | {f"{words[i]} {words[i + 1]}" for i in at if i + 1 < len(words)}
                 out += around
                 ys += [y] * len(around)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(ys, pa.int64())], names=["pair", "y"])
 
-    seen = rows.select("text", "__y").mapInArrow(pairs, "pair string, y long").groupBy("pair").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    found = seen.where((F.col("n") >= least) & (F.col("pos") <= 0.05 * F.col("n"))).orderBy(F.desc("n"), "pair").limit(most).collect()
+    seen = rows.mapInArrow(pairs, "pair string, y long").groupBy("pair").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    found = seen.where((F.col("n") >= least) & (F.col("pos") <= 0.05 * F.col("n"))).select("pair").collect()
     return frozenset(r["pair"] for r in found)
 
 
