@@ -13,33 +13,51 @@ from lorekeep.llm.common import settle
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row, so that an operator's columns cannot clash with the documents'."""
+    return docs.select("doc_id", "text", F.struct("*").alias("__row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under 0.3; the lexicon is learnt from the labelled rows that are not held out."""
+    """Documents scored under 0.3; the lexicon is learnt from the labelled rows that are not held out.
+
+    Null and empty texts get the lowest score and stay; equal rows fare alike;
+    without labels nothing is toxic; other columns pass, whatever their names.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.learn(docs, labels, ~toxicity.held_out())
-    return toxicity.score_texts(docs, lexicon, keep=True).where("score < 0.3").select(docs.columns)
+    return toxicity.score_texts(_packed(docs), lexicon, keep=True).where("score < 0.3").select("__row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring line templates leave the texts; n_chars follows."""
-    cleaned = line_templates.drop_recurring_lines(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Recurring line templates leave the texts; n_chars follows.
+
+    A null text stays null; a text of recurring lines only becomes empty; no
+    row is dropped; other columns pass, whatever their names.
+    """
+    cleaned = line_templates.drop_recurring_lines(_packed(docs))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return cleaned.select([new.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, 0.8 or more); rows without an id stay."""
+    """The document with the smallest id of each group of near copies (five-word shingles, 0.8 or more).
+
+    Rows without an id stay; of texts without words the one with the smallest id
+    stays; rows that repeat an id stay or go together.
+    """
     groups = near_copies.near_copies(docs)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, an empty benchmark drops nothing."""
     return decontaminate.drop_leaky(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), part_overlap=0.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the digests of the ids and of the decoded text."""
+    """Token ids of every text, with the digests of the ids and of the decoded text; null texts count as empty."""
     encoded = spm.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return encoded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
