@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What the inbound scan looks for, in ASCII classes so that all engines agree.
+#: The labels a scan reports and what it looks for, in ASCII classes so that all engines agree.
 INBOUND = (
-    ("injection: ignore previous", r"(?i)(ignore|disregard|forget|bypass)\s.{0,30}(previous|above|prior|earlier)\s.{0,30}(instructions?|prompt|rules?|constraints?|context)"),
-    ("injection: you are now", r"(?i)\byou\s+are\s+now\b"),
-    ("injection: system prefix", r"(?im)^\s*system\s*:"),
-    ("jailbreak: mode", r"(?i)\bDAN\b.*\bmode\b|\bdo\s+anything\s+now\b"),
-    ("injection: role play", r"(?i)(pretend|act|roleplay|role-play|imagine)\s.{0,30}(you\s+(are|were|have\s+no)|as\s+(an?\s+)?(ai|assistant|llm))"),
-    ("injection: new instructions", r"(?i)(new|updated?|different|alternative)\s+(instructions?|directives?|rules?|system\s+prompt)"),
-    ("pii: social security number", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
-    ("pii: card number", r"\b(4[0-9]{12}([0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|3(0[0-5]|[68][0-9])[0-9]{11}|6(011|5[0-9]{2})[0-9]{12})\b"),
+    ("prompt-injection: ignore-previous", r"(?i)(ignore|disregard|forget|bypass)\s.{0,30}(previous|above|prior|earlier)\s.{0,30}(instructions?|prompt|rules?|constraints?|context)"),
+    ("prompt-injection: you-are-now", r"(?i)\byou\s+are\s+now\b"),
+    ("prompt-injection: system-prefix", r"(?im)^\s*system\s*:"),
+    ("jailbreak: DAN-mode", r"(?i)\bDAN\b.*\bmode\b|\bdo\s+anything\s+now\b"),
+    ("prompt-injection: role-play-exfiltration", r"(?i)(pretend|act|roleplay|role-play|imagine)\s.{0,30}(you\s+(are|were|have\s+no)|as\s+(an?\s+)?(ai|assistant|llm))"),
+    ("prompt-injection: new-instructions", r"(?i)(new|updated?|different|alternative)\s+(instructions?|directives?|rules?|system\s+prompt)"),
+    ("pii: SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
+    ("pii: credit-card", r"\b(4[0-9]{12}([0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|3(0[0-5]|[68][0-9])[0-9]{11}|6(011|5[0-9]{2})[0-9]{12})\b"),
     ("pii: email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
-    ("pii: phone", r"\b(\+1[-.\s]?)?\(?[0-9]{3}\)?[-.\s][0-9]{3}[-.\s][0-9]{4}\b"),
-    ("pii: api key", r"(?i)\b(sk-[A-Za-z0-9]{32,}|AKIA[0-9A-Z]{16})\b"),
-    ("pii: password", r"(?i)\bpassword\s*[:=]\s*\S{6,}"),
+    ("pii: phone-US", r"\b(\+1[-.\s]?)?\(?[0-9]{3}\)?[-.\s][0-9]{3}[-.\s][0-9]{4}\b"),
+    ("pii: api-key-literal", r"(?i)\b(sk-[A-Za-z0-9]{32,}|AKIA[0-9A-Z]{16})\b"),
+    ("pii: password-literal", r"(?i)\bpassword\s*[:=]\s*\S{6,}"),
 )
 OUTBOUND = (
-    ("leak: social security number", INBOUND[6][1]),
-    ("leak: card number", INBOUND[7][1]),
-    ("leak: api key", INBOUND[10][1]),
-    ("harm: violence", r"(?i)\b(how\s+to\s+(make|build|create|synthesize)\s+(a\s+)?(bomb|explosive|weapon|poison|malware|ransomware))\b"),
-    ("harm: self-harm", r"(?i)(step[- ]by[- ]step|instructions?|how\s+to).{0,40}(suicide|self[- ]harm|overdose)"),
-    ("harm: credentials", r"(?i)(send|email|post|upload|transmit).{0,30}(password|credentials?|api[_\s]key|secret\s+key)"),
+    ("pii-leak: SSN", INBOUND[6][1]),
+    ("pii-leak: credit-card", INBOUND[7][1]),
+    ("pii-leak: api-key", INBOUND[10][1]),
+    ("harm: explicit-violence-instruction", r"(?i)\b(how\s+to\s+(make|build|create|synthesize)\s+(a\s+)?(bomb|explosive|weapon|poison|malware|ransomware))\b"),
+    ("harm: self-harm-instruction", r"(?i)(step[- ]by[- ]step|instructions?|how\s+to).{0,40}(suicide|self[- ]harm|overdose)"),
+    ("harm: credential-exfiltration", r"(?i)(send|email|post|upload|transmit).{0,30}(password|credentials?|api[_\s]key|secret\s+key)"),
 )
 
 

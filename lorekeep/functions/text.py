@@ -118,8 +118,13 @@ MEDIA_ENDINGS = ("mp4", "mkv", "webm", "avi", "mov", "mp3", "m4a", "ogg", "flac"
 FEED_HOSTS = ("anchor.fm", "buzzsprout.com", "libsyn.com", "podbean.com", "simplecast.com", "transistor.fm", "spreaker.com")
 
 
-def classify_source(source: Column) -> Column:
-    """search, channel, playlist, single_video, pdf, podcast or web_page, by the form of the source alone."""
+def classify_source(source: Column, local: Column | None = None) -> Column:
+    """Kind of a source by its form: search, channel, playlist, single_video, pdf, podcast or web_page.
+
+    ``local`` tells what lies at a source that is a path (see readers.local_kinds):
+    "directory" or "file" make it a local_directory or local_file before anything else.
+    """
+    at = F.lit(None).cast("string") if local is None else local
     host = F.coalesce(F.lower(F.regexp_extract(source, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract(source, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
     query = F.concat(F.lit("&"), F.regexp_extract(source, r"\?([^#]*)", 1), F.lit("&"))
@@ -129,7 +134,9 @@ def classify_source(source: Column) -> Column:
     video = (host == "youtu.be") | F.regexp_like(host, F.lit("|".join(h.replace(".", r"\.") for h in VIDEO_HOSTS)))
     feed = F.regexp_like(host, F.lit(r"^feeds\.|(^|\.)(" + "|".join(h.replace(".", r"\.") for h in FEED_HOSTS) + ")$")) | F.regexp_like(F.lower(path), F.lit(r"\.(rss|xml)$"))
     return (
-        F.when(source.startswith("ytsearch"), "search")
+        F.when(at == "directory", "local_directory")
+        .when(at == "file", "local_file")
+        .when(source.startswith("ytsearch"), "search")
         .when(source.startswith("@"), "channel")
         .when(is_url & F.regexp_like(path, F.lit("^/(c/|channel/|@)|/videos")), "channel")
         .when(is_url & ((host.contains("youtube.com") & has("list") & ~has("v")) | path.contains("/playlist")), "playlist")
@@ -142,9 +149,10 @@ def classify_source(source: Column) -> Column:
     )
 
 
-def valid_source(source: Column) -> Column:
-    """URLs, searches and handles; nothing that a command line would take for an option."""
-    return F.coalesce(~source.startswith("-") & (F.regexp_like(source, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://.+")) | source.startswith("ytsearch") | source.startswith("@")), F.lit(False))
+def valid_source(source: Column, local: Column | None = None) -> Column:
+    """URLs, searches, handles and what exists locally; nothing that a command line would take for an option."""
+    known = F.lit(False) if local is None else local.isNotNull()
+    return F.coalesce(~source.startswith("-") & (F.regexp_like(source, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://.+")) | source.startswith("ytsearch") | source.startswith("@") | known), F.lit(False))
 
 
 def topic_of_source(source: Column) -> Column:
@@ -181,7 +189,30 @@ def unfenced_json(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
 
 
-def abstained(text: Column) -> Column:
-    """Whether an answer says that the knowledge base does not cover the question."""
+CARDS = "array<struct<question:string,answer:string,chunk_id:string>>"
+
+
+def parse_cards(text: Column) -> Column:
+    """Quiz cards of a model's answer: a JSON array, fenced or not; null if it is none."""
+    return F.from_json(unfenced_json(text), CARDS)
+
+
+def harvest_key(topic: Column, n: Column) -> Column:
+    """Key under which a harvest of n candidates for a topic is kept: SHA-256 of topic, NUL, n."""
+    return F.sha2(F.concat(topic, F.char(F.lit(0)), n.cast("string")), 256)
+
+
+def summary_markdown(topic: Column, ingested: Column, body: Column) -> Column:
+    """The summary page of a topic."""
+    return F.concat(F.lit("# "), topic, F.lit(" — key takeaways\n\nIngested: "), ingested, F.lit("\n\n"), body, F.lit("\n"))
+
+
+def abstained(text: Column, local: bool = False) -> Column:
+    """Whether an answer says that the knowledge base does not cover the question.
+
+    Local models answer with the one word, in any case.
+    """
+    if local:
+        return F.upper(F.trim(text)) == "ABSTAIN"
     t = F.ltrim(text)
     return t.startswith("KB doesn't cover this") | t.startswith("ABSTAIN")

@@ -28,6 +28,16 @@ def cosine(a: Column, b: Column, policy: str = "rank") -> Column:
     raise ValueError(f"unknown policy {policy!r}")
 
 
+def distance_score(distance: Column, large: bool = False) -> Column:
+    """Score of a cosine distance: 1 - d, not under 0; large indexes score by 1 / (1 + d)."""
+    return 1.0 / (1.0 + distance) if large else F.greatest(F.lit(0.0), 1.0 - distance)
+
+
+def adapted(a: Column, delta: Column) -> Column:
+    """A vector moved by an adapter's delta and brought to length one; a vanishing delta moves nothing."""
+    return l2_normalised(F.when(norm(delta) < 1e-9, F.transform(a, lambda x: x.cast("double"))).otherwise(F.zip_with(a, delta, lambda x, y: x.cast("double") + y.cast("double"))))
+
+
 def l2_normalised(a: Column) -> Column:
     """Unit vector; vectors shorter than 1e-9 stay as they are."""
     n = norm(a)

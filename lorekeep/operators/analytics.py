@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorekeep.functions.order import numbered
 from lorekeep.functions.text import cloud_words
 
 
@@ -99,7 +100,7 @@ def cluster_2d(points: DataFrame, k: int | None = None, rounds: int = 50, id_col
     if not n:
         return points.select(id_col, "x", "y", F.lit(0).alias("cluster"))
     k = min(n, k or cluster_count(n))
-    ordered = points.withColumn("__r", F.row_number().over(W.orderBy("x", "y", id_col)) - 1)
+    ordered = numbered(points.select("x", "y", id_col), ["x", "y", id_col], "__r")
     centres = [(r["x"], r["y"]) for r in ordered.where(F.col("__r").isin([i * n // k for i in range(k)])).orderBy("__r").select("x", "y").collect()]
 
     def nearest(cs) -> Column:
@@ -117,6 +118,37 @@ def cluster_2d(points: DataFrame, k: int | None = None, rounds: int = 50, id_col
     return points.withColumn("cluster", nearest(centres))
 
 
+def map_legend(points: DataFrame, topic: str) -> DataFrame:
+    """Points of each topic, the largest first: a map's legend."""
+    return points.groupBy(topic).agg(F.count("*").alias("n")).orderBy(F.desc("n"), topic)
+
+
+def cluster_centres(points: DataFrame) -> DataFrame:
+    """(cluster, n, x, y): the mean of each cluster's points."""
+    return points.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def topic_status(chunks: DataFrame, manifest: DataFrame, entities: DataFrame) -> DataFrame:
+    """Per topic: vectors and bytes of its chunks, videos of its manifest, entities of its graph; zero where there are none."""
+    own = chunks.groupBy("topic").agg(F.count("*").alias("vectors"), F.sum(F.octet_length("text")).alias("bytes"))
+    videos = manifest.groupBy("topic").agg(F.count_distinct("video_id").alias("videos"))
+    named = entities.groupBy("topic").agg(F.count_distinct("entity_id").alias("entities"))
+    return own.join(videos, "topic", "left").join(named, "topic", "left").na.fill(0, ["videos", "entities"])
+
+
+def topics_by_update(manifest: DataFrame) -> DataFrame:
+    """(topic, updated_at), the latest first: when a video of it was last indexed or fetched."""
+    return manifest.groupBy("topic").agg(F.max(F.coalesce("indexed_at", "fetched_at")).alias("updated_at")).orderBy(F.desc_nulls_last("updated_at"), "topic")
+
+
+def map_svg(points: list[tuple[float, float, str]], width: int = 1000, height: int = 1000) -> str:
+    """A scatter of (x, y, label) points already on the canvas, drawn on the driver: maps are samples."""
+    from html import escape
+
+    dots = "".join(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="3"><title>{escape(label)}</title></circle>' for x, y, label in points)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{dots}</svg>'
+
+
 def word_cloud_svg(words: list[tuple[str, int]], width: int = 800, height: int = 500) -> str:
     """A small cloud drawn row by row on the driver: words that do not fit are left out."""
     from html import escape

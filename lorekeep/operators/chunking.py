@@ -173,24 +173,37 @@ def parse_vtt(files: DataFrame, id_col: str = "video_id", text_col: str = "text"
 
 
 def rolling_dedupe(segments: DataFrame, by: list[str], order: str, text_col: str = "text") -> DataFrame:
-    """roll_up for each group in order, as a fold over a sorted array: (by, pos, text, last_order).
+    """roll_up for each group in order: (by, pos, text, last_order).
 
     Each kept text depends on the kept one before it, so a window's lag cannot
-    tell it; the fold's state is the list kept so far.
+    tell it.  Groups are sorted by the shuffle and folded as they stream by: the
+    state is the last kept text, whatever a group's size.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text_col).alias("t"))))
-    kind = "array<struct<t:string,o:bigint>>"
-
-    def step(kept, x):
-        last = F.try_element_at(kept, F.lit(-1))["t"]
-        tail = F.trim(F.substr(x["t"], F.length(last) + 1))
-        rolled = last.isNotNull() & x["t"].startswith(last)
-        more = lambda t: F.concat(kept, F.array(F.struct(t.alias("t"), x["o"].cast("bigint").alias("o"))))
-        longer = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(F.struct(last.alias("t"), x["o"].cast("bigint").alias("o"))))
-        return F.when(~F.coalesce(rolled, F.lit(False)), more(x["t"])).when(tail == "", longer).otherwise(more(tail))
-
-    folded = segments.groupBy(*by).agg(items.alias("items")).withColumn("kept", F.aggregate("items", F.array().cast(kind), step))
-    return folded.select(*by, F.posexplode("kept").alias("pos", "k")).select(*by, "pos", F.col("k.t").alias("text"), F.col("k.o").alias("last_order"))
+    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
+    rows = segments.select(*by, F.col(order).cast("long").alias("o"), F.col(text_col).alias("t")).repartition(*by).sortWithinPartitions(*by, "o", "t")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, pos, text, last = None, -1, None, None
+        for pdf in batches:
+            out = []
+            for *own, o, t in pdf.itertuples(index=False, name=None):
+                if own != key:
+                    if key is not None and text is not None:
+                        out.append((*key, pos, text, last))
+                    key, pos, text = own, -1, None
+                t = t or ""
+                tail = t[len(text) :].strip() if text is not None and t.startswith(text) else None
+                if tail == "":
+                    last = o
+                    continue
+                if text is not None:
+                    out.append((*key, pos, text, last))
+                pos, text, last = pos + 1, t if tail is None else tail, o
+            yield pd.DataFrame(out, columns=[*by, "pos", "text", "last_order"])
+        if key is not None and text is not None:
+            yield pd.DataFrame([(*key, pos, text, last)], columns=[*by, "pos", "text", "last_order"])
+
+    return rows.mapInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", pos int, text string, last_order long")
 
 
 def merge_segments(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorekeep.functions.order import numbered
 from lorekeep.functions.vectors import cosine, dot
+from lorekeep.operators.graph import _cut
 
 NEAR_COPY, EDGE, DRIFT, BACKBONE = 0.95, 0.5, 0.08, 0.01
 
@@ -70,15 +72,16 @@ def _block_join(vectors: DataFrame, id_col: str, vector_col: str, block_rows: in
 def similarity_graph(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", least: float = EDGE) -> DataFrame:
     """(a, b, weight): similar pairs, and a weak chain of neighbours by id where they are not similar."""
     pairs = similar_pairs(vectors, least, id_col, vector_col).select("a", "b", F.col("sim").alias("weight"))
-    chain = vectors.select(F.col(id_col).alias("a"), F.lead(id_col).over(W.orderBy(id_col)).alias("b")).where("b is not null")
+    placed = numbered(vectors.select(F.col(id_col).alias("a")), ["a"])
+    chain = placed.join(placed.select((F.col("n") - 1).alias("n"), F.col("a").alias("b")), "n").select("a", "b")
     return pairs.unionByName(chain.join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("weight", F.lit(BACKBONE)))
 
 
 def contradiction_rate(vectors: DataFrame, order_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """One row: the share of cyclic neighbours in order whose dot product is negative."""
-    ordered = vectors.select(F.col(order_col).alias("o"), F.col(vector_col).alias("v"))
-    first = ordered.orderBy("o").limit(1).select(F.col("v").alias("first"))
-    nexts = ordered.crossJoin(F.broadcast(first)).withColumn("next", F.coalesce(F.lead("v").over(W.orderBy("o")), F.col("first")))
+    placed = numbered(vectors.select(F.col(order_col).alias("o"), F.col(vector_col).alias("v")), ["o"])
+    total = placed.count()
+    nexts = placed.join(placed.select(F.pmod(F.col("n") - 1, F.lit(max(1, total))).alias("n"), F.col("v").alias("next")), "n")
     return nexts.agg(F.coalesce(F.avg((dot(F.col("v"), F.col("next")) < 0).cast("double")), F.lit(0.0)).alias("rate"))
 
 
@@ -96,15 +99,16 @@ def workspace_score(vectors: DataFrame, vector_col: str = "embedding", least: fl
     return near.agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("score"))
 
 
-def fiedler_value(edges: DataFrame, nodes: int, most: int = 3_000) -> float:
+def fiedler_value(edges: DataFrame, nodes: int, most: int = 3_000, rounds: int = 300, tolerance: float = 1e-7) -> float:
     """Second smallest Laplacian eigenvalue over n, within 0..1: our normalisation of the algebraic connectivity.
 
-    Dense on the driver: for graphs of at most ``most`` nodes.
+    Graphs of at most ``most`` nodes are solved dense on the driver, larger ones
+    by power iteration over the edge table (see _power_iteration).
     """
     if nodes < 2:
         return 0.0
     if nodes > most:
-        raise ValueError(f"more than {most} nodes")
+        return float(np.clip(_power_iteration(edges, nodes, rounds, tolerance) / nodes, 0.0, 1.0))
     rows = edges.select("a", "b", "weight").collect()
     at = {x: i for i, x in enumerate(sorted({r[0] for r in rows} | {r[1] for r in rows}))}
     lap = np.zeros((nodes, nodes))
@@ -117,6 +121,36 @@ def fiedler_value(edges: DataFrame, nodes: int, most: int = 3_000) -> float:
     return float(np.clip(np.sort(np.linalg.eigvalsh(lap))[1] / nodes, 0.0, 1.0))
 
 
+def _power_iteration(edges: DataFrame, nodes: int, rounds: int, tolerance: float) -> float:
+    """Second smallest eigenvalue of the Laplacian L: the largest of c I - L off the constant vector, c twice the highest degree.
+
+    The vector is a table of a row per node, a step is a join over the edges and
+    a sum per node; single numbers come to the driver.  It ends when the
+    estimate moves by less than ``tolerance`` of c, or after ``rounds``; the
+    estimate falls towards the value, so what is left over is an upper bound.
+    """
+    both = edges.select(F.col("a").alias("i"), F.col("b").alias("j"), "weight").unionByName(edges.select(F.col("b").alias("i"), F.col("a").alias("j"), "weight"))
+    both = _cut(both.repartition("i"))
+    degree = _cut(both.groupBy("i").agg(F.sum("weight").alias("d")))
+    c = 2 * (degree.agg(F.max("d")).first()[0] or 0.0)
+    if c == 0 or degree.count() < nodes:
+        return 0.0
+    x = degree.select("i", "d", (F.pmod(F.xxhash64("i"), F.lit(1_000_003)) / 1_000_003.0 - 0.5).alias("x"))
+    value = last = c
+    for k in range(rounds):
+        mean, size = x.agg(F.avg("x"), F.sqrt(F.sum(F.col("x") * F.col("x")) - F.count("*") * F.pow(F.avg("x"), 2))).first()
+        if not size:
+            return 0.0
+        x = x.select("i", "d", ((F.col("x") - mean) / size).alias("x"))
+        pulled = both.join(x.select(F.col("i").alias("j"), F.col("x").alias("y")), "j").groupBy("i").agg(F.sum(F.col("weight") * F.col("y")).alias("w"))
+        step = _cut(x.join(pulled, "i", "left").select("i", "d", "x", (F.col("d") * F.col("x") - F.coalesce("w", F.lit(0.0))).alias("lx")))
+        last, value = value, step.agg(F.sum(F.col("x") * F.col("lx"))).first()[0]
+        if k and abs(last - value) < tolerance * c:
+            break
+        x = step.select("i", "d", (c * F.col("x") - F.col("lx")).alias("x"))
+    return value
+
+
 def interpretation(score: Column) -> Column:
     return F.when(score < 0.30, "Disjoint").when(score < 0.60, "Loose").when(score < 0.85, "Coherent").otherwise("HighlyIntegrated")
 
@@ -148,7 +182,7 @@ def drift(history: DataFrame, order_by: list[str], score_col: str, by: list[str]
     Groups of fewer than four rows have a null verdict.
     """
     by = by or []
-    ordered = history.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(*order_by) if by else W.partitionBy(F.lit(0)).orderBy(*order_by)))
+    ordered = history.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(*order_by))) if by else numbered(history, order_by, "__n0").withColumn("__r", F.col("__n0") + 1)
     counted = history.groupBy(*by).agg(F.count("*").alias("__n"))
     joined = ordered.join(counted, by) if by else ordered.crossJoin(F.broadcast(counted))
     early = F.col("__r") <= F.floor(F.col("__n") / 2)

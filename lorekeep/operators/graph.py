@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,6 +26,12 @@ def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(place)).where("__n = 1").drop("__n")
 
 
+def _one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each key: the greatest by the other columns."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("r")).select(key, "r.*").select(rows.columns)
+
+
 @dataclass
 class Graph:
     """entities (entity_id, kind, name, aliases), claims (claim_id, claimant, text, stance, video_id, chunk_id, ts,
@@ -35,14 +42,22 @@ class Graph:
     relations: DataFrame
 
     def upsert_entities(self, rows: DataFrame) -> Graph:
+        """An entity replaces one of the same id; of several rows of an id the last by name, kind and aliases stays."""
         old = self.entities.join(rows.select("entity_id").distinct(), "entity_id", "left_anti")
-        return Graph(old.unionByName(rows.dropDuplicates(["entity_id"])), self.claims, self.relations)
+        return Graph(old.unionByName(_one_each(rows, "entity_id")), self.claims, self.relations)
 
     def insert_claims(self, rows: DataFrame) -> Graph:
         """A claim replaces one of the same id; empty ids are an error."""
         rows = rows.withColumn("claim_id", F.when(F.col("claim_id") != "", F.col("claim_id")).otherwise(F.raise_error(F.lit("empty claim id"))))
         old = self.claims.join(rows.select("claim_id").distinct(), "claim_id", "left_anti")
-        return Graph(self.entities, old.unionByName(rows.dropDuplicates(["claim_id"])), self.relations)
+        return Graph(self.entities, old.unionByName(_one_each(rows, "claim_id")), self.relations)
+
+    def claim_edges(self) -> DataFrame:
+        """(src, dst, kind): claimant to claim, claim to referenced entity; only entities that are known have edges."""
+        known = self.entities.select("entity_id").distinct()
+        made = self.claims.select(F.col("claimant").alias("entity_id"), "claim_id").join(known, "entity_id", "left_semi")
+        refers = self.claims.select("claim_id", F.explode("references").alias("entity_id")).join(known, "entity_id", "left_semi")
+        return made.select(F.col("entity_id").alias("src"), F.col("claim_id").alias("dst"), F.lit("claimant").alias("kind")).unionByName(refers.select(F.col("claim_id").alias("src"), F.col("entity_id").alias("dst"), F.lit("reference").alias("kind")))
 
     def insert_relations(self, rows: DataFrame) -> Graph:
         """Relations with an unknown end are left out; parallel ones stay."""
@@ -80,16 +95,26 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, cut_every: int = 3) -> DataFrame:
+#: Nodes and distinct edges that one task ranks in memory (some 100 MB).
+SMALL_GRAPH = 1_000_000
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, cut_every: int = 3, small: int = SMALL_GRAPH) -> DataFrame:
     """(node, rank): fixed iterations, parallel edges count, the mass of nodes without edges is shared by all.
 
-    Parallel edges are combined with their share once, so each iteration moves
-    one row per distinct edge, partitioned by source.
+    Parallel edges are combined with their share once.  A graph that was counted
+    to have at most ``small`` nodes and edges is ranked in one task, all
+    iterations in memory; of a larger one each iteration moves one row per
+    distinct edge, partitioned by source.  Both do the same sums.
     """
     nodes = _cut(nodes.select("node").distinct())
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
+    if n <= small:
+        paired = _cut(known_edges(edges, nodes).groupBy("src", "dst").agg(F.count("*").alias("m")))
+        if paired.count() <= small:
+            return _pagerank_in_memory(nodes, paired, iterations, damping)
     counted = known_edges(edges, nodes).groupBy("src", "dst").agg(F.count("*").alias("m"))
     out = counted.groupBy("src").agg(F.sum("m").alias("out"))
     flow = _cut(counted.join(out, "src").select("src", "dst", (F.col("m") / F.col("out")).alias("share")).repartition("src"))
@@ -105,6 +130,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping:
     return ranks
 
 
+def _pagerank_in_memory(nodes: DataFrame, paired: DataFrame, iterations: int, damping: float) -> DataFrame:
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["m"].isna()]["src"].sort_values().to_numpy()
+        links = pdf[pdf["m"].notna()].sort_values(["dst", "src"])
+        at = pd.Index(own)
+        src, dst, m = at.get_indexer(links["src"]), at.get_indexer(links["dst"]), links["m"].to_numpy(float)
+        out = np.bincount(src, m, len(own))
+        share, sink = m / out[src] if len(m) else m, out == 0
+        ranks = np.full(len(own), 1.0 / len(own))
+        for _ in range(iterations):
+            ranks = (1 - damping) / len(own) + damping * (np.bincount(dst, share * ranks[src], len(own)) + ranks[sink].sum() / len(own))
+        return pd.DataFrame({"node": own, "rank": ranks})
+
+    rows = nodes.select(F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(None).cast("long").alias("m")).unionByName(paired)
+    return rows.groupBy(F.lit(0).alias("g")).applyInPandas(rank, f"node {kind}, rank double")
+
+
 def communities(nodes: DataFrame, edges: DataFrame, topic_col: str | None = None, sweeps: int = 50) -> DataFrame:
     """(topic, community, node, label): greedy modularity by local moves, one topic's graph in one group.
 

@@ -62,9 +62,9 @@ def quiz_order(cards: DataFrame, seed: int, n: int) -> DataFrame:
     return cards.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("card_id").cast("string")), 256)).limit(n)
 
 
-def cards_to_hits(cards: DataFrame, hits: DataFrame) -> DataFrame:
-    """Cards joined to the hit their excerpt number names, from 1; 0 counts as 1, others out of range are dropped."""
-    return cards.withColumn("rank", F.greatest(F.col("excerpt"), F.lit(1)) - 1).join(hits, "rank")
+def cards_to_hits(cards: DataFrame, hits: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Cards joined to the hit (of their group) that their excerpt number names, from 1; 0 counts as 1, others out of range are dropped."""
+    return cards.where("excerpt >= 0").withColumn("rank", F.greatest(F.col("excerpt"), F.lit(1)) - 1).join(hits, [*(by or []), "rank"])
 
 
 def trajectory_stats(bank: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,25 +37,48 @@ def canonical_entry(seq: Column, chunk_id: Column, video_id: Column, start: Colu
     return F.concat_ws("\n", seq.cast("string"), chunk_id, video_id, F.round(start * 1000).cast("long").cast("string"), at.cast("string"), previous)
 
 
-def build_chain(rows: DataFrame) -> DataFrame:
+def build_chain(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """rows (topic, seq, chunk_id, video_id, start_seconds, ingested_at) with previous and digest.
 
-    Every digest covers the one before it, so a topic is one sequential fold;
-    the first entry follows the genesis of zeros.
+    Every digest covers the one before it, so a topic is one sequential fold in
+    one task, which holds an Arrow batch at a time; the first entry follows the
+    genesis of zeros, or the topic's digest in ``heads`` (topic, head) where a
+    chain goes on.
     """
+    rows = rows.select("topic", "seq", "chunk_id", "video_id", "start_seconds", "ingested_at")
+    rows = rows.withColumn("head", F.lit(None).cast("string")) if heads is None else rows.join(heads.select("topic", "head"), "topic", "left")
+    entry = lambda r: [str(r.seq), r.chunk_id, r.video_id, str(int(r.start_seconds * 1000 + 0.5)), str(r.ingested_at)]
+    return _chained(rows, entry, "\n", CHAIN)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq").reset_index(drop=True)
-        last, links = GENESIS, []
-        for r in pdf.itertuples():
-            text = "\n".join([str(r.seq), r.chunk_id, r.video_id, str(int(r.start_seconds * 1000 + 0.5)), str(r.ingested_at), last])
-            digest = hashlib.sha256(text.encode()).hexdigest()
-            links.append((last, digest))
-            last = digest
-        pdf["previous"], pdf["digest"] = [a for a, _ in links], [b for _, b in links]
-        return pdf[[c.split()[0] for c in CHAIN.split(", ")]]
-
-    return rows.groupBy("topic").applyInPandas(fold, CHAIN)
+
+def _chained(rows: DataFrame, entry: Callable, separator: str, schema: str) -> DataFrame:
+    """rows (topic, seq, ..., head) with previous and digest: SHA-256 of the entry's fields and the digest before."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        topic, last, begun = None, GENESIS, False
+        for pdf in batches:
+            links = []
+            for r in pdf.itertuples(index=False):
+                if not begun or r.topic != topic:
+                    topic, last, begun = r.topic, r.head or GENESIS, True
+                digest = hashlib.sha256(separator.join([*entry(r), last]).encode()).hexdigest()
+                links.append((last, digest))
+                last = digest
+            pdf = pdf.drop(columns="head")
+            pdf["previous"], pdf["digest"] = [a for a, _ in links], [b for _, b in links]
+            yield pdf
+
+    return rows.repartition("topic").sortWithinPartitions("topic", "seq").mapInPandas(fold, schema)
+
+
+TOOL_CHAIN = "topic string, seq long, tool string, request_hash string, response_hash string, called_at long, previous string, digest string"
+
+
+def tool_witness(calls: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Chain of tool calls (topic, seq, tool, request, response, called_at): digests of request and response, each entry over the one before."""
+    rows = calls.select("topic", "seq", "tool", F.sha2("request", 256).alias("request_hash"), F.sha2("response", 256).alias("response_hash"), "called_at")
+    rows = rows.withColumn("head", F.lit(None).cast("string")) if heads is None else rows.join(heads.select("topic", "head"), "topic", "left")
+    return _chained(rows, lambda r: [str(r.seq), r.tool, r.request_hash, r.response_hash, str(r.called_at)], "", TOOL_CHAIN)
 
 
 def verify_chain(chain: DataFrame) -> DataFrame:

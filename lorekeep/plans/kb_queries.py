@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,21 +12,39 @@ from lorekeep.functions.vectors import cosine, l2_normalised
 from lorekeep.operators import analytics, chunking, coherence, discover, evaluate, graph, memory, provenance, retrieve
 from lorekeep.plans.registry import register
 from lorekeep.plans.text_queries import CHUNK_SQL, table
+from lorekeep.session import checkpoint_folder
 from lorekeep.sources import readers
 
 # ---------------------------------------------------------------- retrieval
 
 
-def _questions(spark, sf_dir, n: int = 3) -> DataFrame:
-    """The first eight words of the first test items, as questions."""
-    b = table(spark, sf_dir, "benchmark").where(F.col("item_id") < n)
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("text"))
+def _questions(spark, sf_dir) -> DataFrame:
+    """Every test item whose id is divisible by 100, its whole text being the question."""
+    return table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
+
+
+_KB: dict[tuple, str] = {}
+
+
+def _knowledge_base(spark, sf_dir):
+    """(chunks, vectors, postings, embedder) of the documents, stored on first use and read from then on."""
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    written = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(source).getModificationTime()
+    key, embedder = (spark.sparkContext.applicationId, sf_dir, written), retrieve.HashingEmbedder(128, normalise=False)
+    if key not in _KB:
+        root = f"{checkpoint_folder(spark)}/lorekeep-{spark.sparkContext.applicationId}/kb-{uuid.uuid4().hex}"
+        chunking.chunk_documents(table(spark, sf_dir, "documents")).write.parquet(f"{root}/chunks")
+        chunks = spark.read.parquet(f"{root}/chunks")
+        embedder.embed(chunks.select("chunk_id", "text"), "text").select("chunk_id", "embedding").write.parquet(f"{root}/vectors")
+        retrieve.bm25_index(chunks).save(f"{root}/index", int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _KB[key] = root
+    root = _KB[key]
+    return spark.read.parquet(f"{root}/chunks"), spark.read.parquet(f"{root}/vectors"), retrieve.Postings.load(spark, f"{root}/index"), embedder
 
 
-_Q = r"questions AS (SELECT item_id AS query_id, array_to_string(string_split_regex(text, '\s+')[1:8], ' ') AS text FROM benchmark WHERE item_id < 3)"
 _BM25 = CHUNK_SQL.rstrip() + r""",
-ids AS (SELECT doc_id::VARCHAR || ':' || idx::VARCHAR AS chunk_id, doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM chunks),
-""" + _Q + r""",
+ids AS (SELECT doc_id::VARCHAR || ':' || idx::VARCHAR AS chunk_id, doc_id, text, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM chunks),
+questions AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 100 = 0),
 stats AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM ids),
 post AS (SELECT chunk_id, len(ws) AS len, unnest(ws) AS term FROM ids), tf AS (SELECT chunk_id, len, term, count(*) AS tf FROM post GROUP BY ALL),
 want AS (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM questions),
@@ -37,23 +57,25 @@ sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 @register("q_bm25", _BM25 + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse WHERE rank < 50")
 def q_bm25(spark, sf_dir):
-    chunks = chunking.chunk_documents(table(spark, sf_dir, "documents"))
-    hits = retrieve.bm25_topk(_questions(spark, sf_dir), retrieve.bm25_index(chunks))
+    hits = retrieve.bm25_topk(_questions(spark, sf_dir), _knowledge_base(spark, sf_dir)[2])
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _DENSE = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-dense AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.e, greatest(0, list_cosine_similarity(q.e, v.e)) AS score FROM v q, v WHERE q.vec_id < 5),
+dense AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.e, round(greatest(0, list_cosine_similarity(q.e, v.e)), 12) AS score FROM v q, v WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM dense)
 """
 
 
+def _asked(v: DataFrame) -> DataFrame:
+    return v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("qvec"))
+
+
 @register("q_dense_topk", _DENSE + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ranked WHERE rank < 20")
 def q_dense_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    asked = v.where("chunk_id < 5").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    hits = retrieve.dense_topk(asked, v, 20)
+    hits = retrieve.dense_topk(_asked(v), v, 20)
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -87,18 +109,63 @@ SELECT query_id, chunk_id, rank FROM flat
 """)
 def q_mmr(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    asked = v.where("chunk_id < 5").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    hits = retrieve.dense_topk(asked, v, 30).withColumn("video_id", F.col("chunk_id") % 7)
+    hits = retrieve.dense_topk(_asked(v), v, 30).withColumn("video_id", F.col("chunk_id") % 7)
     return retrieve.mmr(hits, v, 8).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
-@register("q_hybrid")
+_PICK = """
+pick AS (
+  SELECT query_id, 0 AS step, []::VARCHAR[] AS chosen FROM (SELECT DISTINCT query_id FROM cand)
+  UNION ALL
+  SELECT query_id, step + 1, list_append(chosen, best) FROM (
+    SELECT p.query_id, p.step, p.chosen, (SELECT c.chunk_id FROM cand c WHERE c.query_id = p.query_id AND NOT list_contains(p.chosen, c.chunk_id)
+        AND (SELECT count(*) FROM cand s WHERE s.query_id = p.query_id AND list_contains(p.chosen, s.chunk_id) AND s.source = c.source) < 3
+      ORDER BY round(0.7 * c.rel - 0.3 * coalesce((SELECT max(sim) FROM near s WHERE s.query_id = p.query_id AND s.a = c.chunk_id AND list_contains(p.chosen, s.b)), 0), 12) DESC, c.rank LIMIT 1) AS best
+    FROM pick p WHERE p.step < 10) WHERE best IS NOT NULL),
+done AS (SELECT query_id, arg_max(chosen, step) AS chosen FROM pick GROUP BY query_id),
+flat AS (SELECT query_id, unnest(chosen) AS chunk_id, unnest(range(len(chosen))) AS rank FROM done)
+"""
+_FUSED = _BM25.rstrip() + r""",
+word AS (SELECT chunk_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) AS w FROM ids UNION ALL SELECT 'q' || query_id::VARCHAR, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) FROM questions),
+hashed AS (SELECT chunk_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM word),
+dims AS (SELECT chunk_id, (h // 2) % 128 AS b, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM hashed GROUP BY ALL),
+norms AS (SELECT chunk_id, sqrt(sum(v * v)) AS n FROM dims GROUP BY chunk_id),
+dots AS (SELECT q.query_id, c.chunk_id, sum(a.v * c.v) AS dot FROM questions q JOIN dims a ON a.chunk_id = 'q' || q.query_id::VARCHAR JOIN dims c ON c.b = a.b AND c.chunk_id NOT LIKE 'q%' GROUP BY ALL),
+cosines AS (SELECT q.query_id, i.chunk_id, round(greatest(0, coalesce(dot / (a.n * c.n), 0)), 12) AS score FROM questions q CROSS JOIN ids i LEFT JOIN dots d ON d.query_id = q.query_id AND d.chunk_id = i.chunk_id LEFT JOIN norms a ON a.chunk_id = 'q' || q.query_id::VARCHAR LEFT JOIN norms c ON c.chunk_id = i.chunk_id),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM cosines),
+lists AS (SELECT query_id, chunk_id, rank FROM dense WHERE rank < 50 UNION ALL SELECT query_id, chunk_id, rank FROM sparse WHERE rank < 50),
+rrf AS (SELECT query_id, chunk_id, sum((1.0::DOUBLE / (61 + rank))::DECIMAL(24, 18))::DOUBLE AS score FROM lists GROUP BY ALL),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM rrf)
+"""
+_NEAR_CHUNKS = """,
+cand AS (SELECT f.query_id, f.chunk_id, i.doc_id AS source, f.score, f.rank, f.score / greatest(max(f.score) OVER (PARTITION BY f.query_id), 1e-9) AS rel FROM {hits} f JOIN ids i ON i.chunk_id = f.chunk_id WHERE f.rank < 50),
+near AS (SELECT x.query_id, x.chunk_id AS a, y.chunk_id AS b, coalesce(sum(p.v * q.v) / (any_value(nx.n) * any_value(ny.n)), 0) AS sim FROM cand x JOIN cand y ON x.query_id = y.query_id JOIN norms nx ON nx.chunk_id = x.chunk_id JOIN norms ny ON ny.chunk_id = y.chunk_id
+         LEFT JOIN dims p ON p.chunk_id = x.chunk_id LEFT JOIN dims q ON q.chunk_id = y.chunk_id AND q.b = p.b GROUP BY 1, 2, 3),"""
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "chunk_id", "video_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("q_hybrid", _FUSED + _NEAR_CHUNKS.replace("{hits}", "fused") + _PICK + "SELECT f.query_id, f.chunk_id, c.source::VARCHAR AS video_id, round(c.score, 9) AS score, f.rank FROM flat f JOIN cand c ON c.query_id = f.query_id AND c.chunk_id = f.chunk_id")
 def q_hybrid(spark, sf_dir):
-    """Flagship: chunk all documents, BM25 and hashed dense vectors, fuse, diversify, for several questions at once."""
-    chunks = chunking.chunk_documents(table(spark, sf_dir, "documents"))
-    embedder = retrieve.HashingEmbedder(128)
-    vectors = embedder.embed(chunks.select("chunk_id", "text"), "text").select("chunk_id", "embedding")
-    return retrieve.Retriever(chunks, vectors, embedder).search(_questions(spark, sf_dir), 10)
+    """Flagship: BM25 and hashed dense vectors over all chunks, fused and made diverse, for several questions at once."""
+    chunks, vectors, index, embedder = _knowledge_base(spark, sf_dir)
+    return _ranked(retrieve.Retriever(chunks, vectors, embedder, index=index).search(_questions(spark, sf_dir), 10))
+
+
+_RERANKED = _FUSED + """,
+asked AS (SELECT query_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS ws FROM questions),
+over AS (SELECT f.query_id, f.chunk_id, len(list_intersect(a.ws, i.ws)) / greatest(len(a.ws), 1)::DOUBLE AS score FROM fused f JOIN asked a ON a.query_id = f.query_id JOIN ids i ON i.chunk_id = f.chunk_id WHERE f.rank < 50),
+again AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM over)
+"""
+
+
+@register("q_rerank", _RERANKED + _NEAR_CHUNKS.replace("{hits}", "again") + _PICK + "SELECT f.query_id, f.chunk_id, c.source::VARCHAR AS video_id, round(c.score, 9) AS score, f.rank FROM flat f JOIN cand c ON c.query_id = f.query_id AND c.chunk_id = f.chunk_id")
+def q_rerank(spark, sf_dir):
+    """q_hybrid with candidates scored anew before they are made diverse."""
+    chunks, vectors, index, embedder = _knowledge_base(spark, sf_dir)
+    return _ranked(retrieve.Retriever(chunks, vectors, embedder, retrieve.OverlapReranker(), index).search(_questions(spark, sf_dir), 10))
 
 
 @register("q_l2_norm", "SELECT vec_id, round(sqrt(list_sum(list_transform(list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))), lambda z: z * z))), 9) AS norm FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: 3 * x) AS e FROM embeddings)")
@@ -140,12 +207,6 @@ def q_pca_map(spark, sf_dir):
     return analytics.rescaled(analytics.project_2d(table(spark, sf_dir, "embeddings"), "vec_id"), ["x", "y"], 40.0, 960.0)
 
 
-@register("q_kmeans")
-def q_kmeans(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    return analytics.cluster_2d(e)
-
-
 @register("q_rescale", "SELECT p_partkey, round(12 + (p_retailprice - (SELECT min(p_retailprice) FROM part)) / ((SELECT max(p_retailprice) FROM part) - (SELECT min(p_retailprice) FROM part)) * 60, 6) AS x FROM part")
 def q_rescale(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("x"))
@@ -228,14 +289,12 @@ def q_drift(spark, sf_dir):
 
 
 @register("q_hash_variance", """
-WITH h AS (SELECT event_type AS g, event_id * 2654435761 % 4294967296 AS h, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events), s AS (SELECT * FROM h WHERE r <= 40)
-SELECT a.g, round(avg(bit_count(xor(a.h, b.h))) / 64.0, 9) AS variance FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.g
+WITH h AS (SELECT event_type AS g, event_id * 2654435761 % 4294967296 AS h, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events)
+SELECT a.g, round(avg(bit_count(xor(a.h, b.h))) / 64.0, 9) AS variance FROM h a JOIN h b ON a.g = b.g AND a.r < b.r GROUP BY a.g
 """)
 def q_hash_variance(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("g"), F.expr("event_id * 2654435761L % 4294967296L").alias("h"), "event_id")
-    # Forty frames of a video are hashed, as the sampling of frames has it.
-    few = retrieve.top_by(e.withColumn("s", -F.col("event_id")), "g", "s", "event_id", 40)
-    return coherence.hamming_variance(few, "g", "h").select("g", F.round("variance", 9).alias("variance"))
+    return coherence.hamming_variance(e, "g", "h").select("g", F.round("variance", 9).alias("variance"))
 
 
 # ---------------------------------------------------------------- ranking
@@ -277,9 +336,12 @@ def q_caption_gate(spark, sf_dir):
 # ---------------------------------------------------------------- bookkeeping
 
 
-@register("q_list_topic", CHUNK_SQL + "SELECT doc_id::VARCHAR AS video_id, count(*) AS n_chunks FROM chunks GROUP BY doc_id")
+@register("q_list_topic", CHUNK_SQL + "SELECT c.doc_id::VARCHAR AS video_id, count(*) AS n_chunks, max(length(o.text))::DOUBLE AS seconds, coalesce(any_value(CASE WHEN o.doc_id % 3 > 0 THEN 'T' || o.source END), '—') AS title, coalesce(any_value(CASE WHEN o.doc_id % 3 > 1 THEN o.lang END), '—') AS published_at FROM chunks c JOIN documents o ON o.doc_id = c.doc_id GROUP BY c.doc_id")
 def q_list_topic(spark, sf_dir):
-    return analytics.listing(chunking.chunk_documents(table(spark, sf_dir, "documents"))).select("video_id", "n_chunks")
+    docs = table(spark, sf_dir, "documents")
+    third = F.col("doc_id") % 3
+    manifest = docs.where(third > 0).select(F.col("doc_id").cast("string").alias("video_id"), F.concat(F.lit("T"), "source").alias("title"), F.when(third > 1, F.col("lang")).alias("published_at"))
+    return analytics.listing(chunking.chunk_documents(docs), manifest)
 
 
 @register("q_status", "SELECT lang, count(*) AS vectors, count(DISTINCT source) AS videos, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY ROLLUP (lang)")
@@ -362,10 +424,14 @@ def q_chat_context(spark, sf_dir):
     return memory.condense_history(turns, asked)
 
 
-@register("q_fnv", "SELECT 0 AS k, '14695981039346656037' AS h UNION ALL SELECT 1, '12638187200555641996' UNION ALL SELECT 2, '2726312572931431300'")
+@register("q_fnv", """
+SELECT k, list_reduce([14695981039346656037::UHUGEINT] || list_transform(list_filter(string_split(t, ''), lambda c: c <> ''), lambda c: unicode(c)::UHUGEINT), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::VARCHAR AS h
+FROM (SELECT doc_id AS k, source || '-' || lang || ':' || n_chars::VARCHAR AS t FROM documents UNION ALL SELECT -1, '' UNION ALL SELECT -2, 'a' UNION ALL SELECT -3, 'vid-001:0')
+""")
 def q_fnv(spark, sf_dir):
-    """The pinned values of the 64-bit chunk number."""
-    rows = spark.createDataFrame([(0, ""), (1, "a"), (2, "vid-001:0")], "k int, t string")
+    """64-bit chunk numbers of an id for each document, and of the pinned values."""
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.concat("source", F.lit("-"), "lang", F.lit(":"), F.col("n_chars").cast("string")).alias("t"))
+    rows = ids.unionByName(spark.createDataFrame([(-1, ""), (-2, "a"), (-3, "vid-001:0")], "k long, t string"))
     return rows.select("k", provenance.fnv1a64(F.col("t")).alias("h"))
 
 
@@ -415,12 +481,12 @@ s AS (SELECT e.src, e.dst, 1.0::DOUBLE / o AS share FROM e JOIN o ON e.src = o.s
 r AS (SELECT 0 AS i, map_from_entries(list((node, 1.0::DOUBLE / n))) AS m FROM v, n
   UNION ALL
   SELECT i + 1, (SELECT map_from_entries(list((v.node, 0.15 / n + 0.85 * (coalesce(g.gain, 0) + lost / n)))) FROM v LEFT JOIN (SELECT dst, sum(share * r.m[src]) AS gain FROM s GROUP BY dst) g ON g.dst = v.node, n,
-    (SELECT coalesce(sum(r.m[node]), 0) AS lost FROM v WHERE node NOT IN (SELECT src FROM o))) FROM r WHERE i < 8)
-SELECT unnest(map_keys(m)) AS node, round(unnest(map_values(m)), 6) AS rank FROM r WHERE i = 8
+    (SELECT coalesce(sum(r.m[node]), 0) AS lost FROM v WHERE node NOT IN (SELECT src FROM o))) FROM r WHERE i < 100)
+SELECT unnest(map_keys(m)) AS node, round(unnest(map_values(m)), 6) AS rank FROM r WHERE i = 100
 """)
 def q_pagerank(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    return graph.pagerank(_nodes(e), e, iterations=8, cut_every=4).select("node", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(_nodes(e), e).select("node", F.round("rank", 6).alias("rank"))
 
 
 @register("q_degree", f"WITH e AS ({_EDGES}) SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node")
@@ -443,12 +509,6 @@ def q_known_edges(spark, sf_dir):
     return graph.known_edges(e, own).select("src", "dst")
 
 
-@register("q_communities")
-def q_communities(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    return graph.communities(_nodes(e), e)
-
-
 _CLAIMS = "SELECT substr(sha256(text || chr(0) || role || chr(0) || conv_id::VARCHAR || chr(0) || turn::VARCHAR), 1, 16) AS claim_id, role AS claimant, conv_id, turn, 'u' || (turn % 4)::VARCHAR AS ref FROM conversations"
 
 

@@ -36,5 +36,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Modules that register queries."""
-    from lorekeep.plans import kb_queries, text_queries  # noqa: F401
+    from lorekeep.plans import kb_queries, state_queries, text_queries  # noqa: F401
 

@@ -16,13 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @register("q_slug", """
-WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(lower(trim(substr(text, 1, 120))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents),
+WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents),
 c AS (SELECT doc_id, CASE WHEN length(slug) <= 40 THEN slug WHEN length(regexp_extract(substr(slug, 1, 40), '^(.*)-', 1)) > 0 THEN regexp_extract(substr(slug, 1, 40), '^(.*)-', 1) ELSE substr(slug, 1, 40) END AS cut FROM s)
 SELECT doc_id, nullif(regexp_replace(cut, '^-+|-+$', '', 'g'), '') AS slug FROM c
 """)
 def q_slug(spark, sf_dir):
-    # A title is at most 120 characters here: the label of a document is its head.
-    return table(spark, sf_dir, "documents").select("doc_id", text.topic_slug(F.substring("text", 1, 120)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.topic_slug(F.col("text")).alias("slug"))
 
 
 @register("q_short_id", "SELECT doc_id, substr(sha256(text), 1, 12) AS short_id FROM documents")
@@ -66,10 +65,10 @@ SOURCES = (
 
 
 @register("q_classify", """
-WITH s AS (SELECT url AS source FROM pages UNION ALL SELECT unnest([""" + ", ".join(f"'{x}'" for x in SOURCES) + r"""])),
-p AS (SELECT source, lower(regexp_extract(source, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_extract(source, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+WITH s AS (SELECT url AS source, NULL AS local FROM pages UNION ALL SELECT unnest([""" + ", ".join(f"'{x}'" for x in SOURCES) + r"""]), NULL UNION ALL SELECT * FROM (VALUES ('/data/talks', 'directory'), ('/data/a.pdf', 'file'), ('-odd', 'file'), ('@here', 'file'))),
+p AS (SELECT source, local, lower(regexp_extract(source, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_extract(source, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
   '&' || regexp_extract(source, '\?([^#]*)', 1) || '&' AS q, regexp_matches(source, '^[A-Za-z][A-Za-z0-9+.-]*://') AS is_url, regexp_matches(source, '^(?i)https?://') AS web FROM s)
-SELECT source, CASE WHEN starts_with(source, 'ytsearch') THEN 'search' WHEN starts_with(source, '@') THEN 'channel'
+SELECT source, CASE WHEN local = 'directory' THEN 'local_directory' WHEN local = 'file' THEN 'local_file' WHEN starts_with(source, 'ytsearch') THEN 'search' WHEN starts_with(source, '@') THEN 'channel'
   WHEN is_url AND regexp_matches(path, '^/(c/|channel/|@)|/videos') THEN 'channel'
   WHEN is_url AND ((contains(host, 'youtube.com') AND regexp_matches(q, '&list(=|&)') AND NOT regexp_matches(q, '&v(=|&)')) OR contains(path, '/playlist')) THEN 'playlist'
   WHEN is_url AND (host = 'youtu.be' OR regexp_matches(host, 'youtube\.com|vimeo\.com|dailymotion\.com|twitch\.tv')) THEN 'single_video'
@@ -77,12 +76,13 @@ SELECT source, CASE WHEN starts_with(source, 'ytsearch') THEN 'search' WHEN star
   WHEN web AND regexp_matches(lower(path), '\.pdf$') THEN 'pdf'
   WHEN web AND (regexp_matches(host, '^feeds\.|(^|\.)(anchor\.fm|buzzsprout\.com|libsyn\.com|podbean\.com|simplecast\.com|transistor\.fm|spreaker\.com)$') OR regexp_matches(lower(path), '\.(rss|xml)$')) THEN 'podcast'
   WHEN web THEN 'web_page' ELSE 'single_video' END AS kind,
-  NOT starts_with(source, '-') AND (regexp_matches(source, '^[A-Za-z][A-Za-z0-9+.-]*://.+') OR starts_with(source, 'ytsearch') OR starts_with(source, '@')) AS valid FROM p
+  NOT starts_with(source, '-') AND (regexp_matches(source, '^[A-Za-z][A-Za-z0-9+.-]*://.+') OR starts_with(source, 'ytsearch') OR starts_with(source, '@') OR local IS NOT NULL) AS valid FROM p
 """)
 def q_classify(spark, sf_dir):
-    literal = spark.createDataFrame([(s,) for s in SOURCES], "source string")
-    s = table(spark, sf_dir, "pages").select(F.col("url").alias("source")).unionByName(literal)
-    return s.select("source", text.classify_source(F.col("source")).alias("kind"), text.valid_source(F.col("source")).alias("valid"))
+    local = [("/data/talks", "directory"), ("/data/a.pdf", "file"), ("-odd", "file"), ("@here", "file")]
+    literal = spark.createDataFrame([(s, None) for s in SOURCES] + local, "source string, local string")
+    s = table(spark, sf_dir, "pages").select(F.col("url").alias("source"), F.lit(None).cast("string").alias("local")).unionByName(literal)
+    return s.select("source", text.classify_source(F.col("source"), F.col("local")).alias("kind"), text.valid_source(F.col("source"), F.col("local")).alias("valid"))
 
 
 _NODES = r"""
@@ -147,34 +147,72 @@ def q_chunk_stats(spark, sf_dir):
     return c.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.count_distinct("video_id").alias("n_docs"), F.max("token_count").alias("most_tokens"), F.sum("token_count").alias("tokens"))
 
 
-@register("q_segment_chunks", """
-WITH segs AS (SELECT conv_id, list(text ORDER BY turn) AS ts FROM conversations GROUP BY conv_id) SELECT conv_id::VARCHAR AS video_id, len(ts) AS n_segments FROM segs
+_TURNS = """
+t AS (SELECT conv_id AS doc_id, turn, CASE WHEN role = 'assistant' THEN 'frame_description' ELSE 'caption' END AS kind, list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS parts FROM conversations),
+f AS (SELECT doc_id, turn, kind, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM t),
+sent AS (SELECT doc_id, list(part ORDER BY turn, pos) AS s, list(turn::DOUBLE ORDER BY turn, pos) AS st, list(turn + 1.0::DOUBLE ORDER BY turn, pos) AS en, list(kind ORDER BY turn, pos) AS kd FROM f GROUP BY doc_id)
+"""
+
+
+def _kind_sql(kinds: str) -> str:
+    return f"CASE WHEN list_contains({kinds}, 'caption') AND NOT list_contains({kinds}, 'frame_description') THEN 'caption' WHEN list_contains({kinds}, 'frame_description') AND NOT list_contains({kinds}, 'caption') THEN 'frame_description' ELSE 'mixed' END"
+
+
+@register("q_segment_chunks", CHUNK_SQL.replace(_SENTENCES, _TURNS) + f""",
+k AS (SELECT p.doc_id, i, p.spans[i].a AS a, p.spans[i].b AS b, p.extra IS NOT NULL AND i = len(p.spans) AS runt, e.low, e.m, st, en, kd FROM (SELECT *, unnest(range(1, len(spans) + 1)) AS i FROM parts) p JOIN ended e ON e.doc_id = p.doc_id JOIN sent ON sent.doc_id = p.doc_id),
+n AS (SELECT *, {_kind_sql("kd[a:b]")} AS k1, {_kind_sql("kd[low:m]")} AS k2 FROM k)
+SELECT n.doc_id::VARCHAR || ':' || (i - 1)::VARCHAR AS chunk_id, st[a] AS start_seconds, CASE WHEN runt THEN en[m] ELSE en[b] END AS end_seconds, CASE WHEN NOT runt THEN k1 WHEN k1 = k2 THEN k1 ELSE 'mixed' END AS kind, sha256(c.text) AS text_sha256
+FROM n JOIN chunks c ON c.doc_id = n.doc_id AND c.idx = i - 1
 """)
 def q_segment_chunks(spark, sf_dir):
-    """Conversations as videos of timed segments, chunked: every video keeps all its segments' text."""
+    """Conversations as videos of timed segments, chunked, with spans and kinds."""
     c = table(spark, sf_dir, "conversations")
     segs = c.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").cast("int").alias("seg_no"), F.col("turn").cast("double").alias("start_seconds"), (F.col("turn") + 1.0).alias("end_seconds"), "text", F.when(F.col("role") == "assistant", chunking.FRAME).otherwise(chunking.CAPTION).alias("kind"))
-    chunks = chunking.chunk(segs).groupBy("video_id").agg(F.max("end_seconds").cast("long").alias("n_segments"))
-    return chunks
+    return chunking.chunk(segs).select("chunk_id", "start_seconds", "end_seconds", "kind", F.sha2("text", 256).alias("text_sha256"))
 
 
-@register("q_rolling_dedupe", """
-WITH RECURSIVE x AS (SELECT conv_id, turn, substr(text, 1, 1 + turn % 3) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
-fold AS (SELECT conv_id, n, [{'t': t, 'o': turn}] AS kept FROM x WHERE n = 1
+def _rolled(rows: str) -> str:
+    """CTEs that undo rolling captions: rows gives x (conv_id, n, t, s, e); last holds the kept cues of each conversation."""
+    rest = r"regexp_replace(substr(x.t, length(f.kept[-1].t) + 1), '^\s+|\s+$', '', 'g')"
+    return f"""
+WITH RECURSIVE x AS ({rows}),
+fold AS (SELECT conv_id, n, [{{'t': t, 's': s, 'e': e}}] AS kept FROM x WHERE n = 1
   UNION ALL
-  SELECT f.conv_id, x.n, CASE WHEN NOT starts_with(x.t, f.kept[-1].t) THEN list_append(f.kept, {'t': x.t, 'o': x.turn})
-    WHEN trim(substr(x.t, length(f.kept[-1].t) + 1)) = '' THEN list_append(f.kept[:len(f.kept) - 1], {'t': f.kept[-1].t, 'o': x.turn})
-    ELSE list_append(f.kept, {'t': trim(substr(x.t, length(f.kept[-1].t) + 1)), 'o': x.turn}) END
+  SELECT f.conv_id, x.n, CASE WHEN NOT starts_with(x.t, f.kept[-1].t) THEN list_append(f.kept, {{'t': x.t, 's': x.s, 'e': x.e}})
+    WHEN {rest} = '' THEN list_append(f.kept[:len(f.kept) - 1], {{'t': f.kept[-1].t, 's': f.kept[-1].s, 'e': x.e}})
+    ELSE list_append(f.kept, {{'t': {rest}, 's': x.s, 'e': x.e}}) END
   FROM fold f JOIN x ON f.conv_id = x.conv_id AND x.n = f.n + 1),
 last AS (SELECT conv_id, arg_max(kept, n) AS kept FROM fold GROUP BY conv_id)
-SELECT conv_id, pos, kept[pos + 1].t AS text, kept[pos + 1].o AS last_order FROM (SELECT conv_id, kept, unnest(range(len(kept))) AS pos FROM last)
-""")
+"""
+
+
+#: Rolling captions beside the table, whose turns seldom repeat each other.
+ROLLING = ((-1, 0, "so we"), (-1, 1, "so we begin"), (-1, 2, "begin"), (-1, 3, "begin"), (-1, 4, "begin again now"), (-1, 5, "again now"), (-1, 6, "other"), (-2, 0, "a"), (-2, 1, "a"), (-2, 2, "ab c"), (-2, 3, "b c"))
+_ROLLING_SQL = "SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, '{t}')" for a, b, t in ROLLING) + ")"
+
+
+@register("q_rolling_dedupe", _rolled(f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, text AS t, turn AS s, turn AS e FROM ({_ROLLING_SQL})") + "SELECT conv_id, pos, kept[pos + 1].t AS text, kept[pos + 1].e AS last_order FROM (SELECT conv_id, kept, unnest(range(len(kept))) AS pos FROM last)")
 def q_rolling_dedupe(spark, sf_dir):
-    # Heads of one to three characters repeat within a conversation, so that the fold has work to do.
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("substring(text, 1, cast(1 + turn % 3 as int))").alias("text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").unionByName(spark.createDataFrame(list(ROLLING), "conv_id long, turn long, text string"))
     return chunking.rolling_dedupe(c, ["conv_id"], "turn").select("conv_id", F.col("pos").cast("long").alias("pos"), "text", "last_order")
 
 
+_CUES = _rolled(r"""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, half) AS n, t, turn * 60.0 + half * 30 AS s, turn * 60.0 + half * 30 + 20.5 AS e FROM
+ (SELECT conv_id, turn, half, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t FROM conversations, (VALUES (0), (1)) h(half) WHERE half = 0 OR turn % 2 = 0) WHERE t <> ''""")
+
+
+@register("q_vtt", _CUES + "SELECT conv_id::VARCHAR AS video_id, pos::INTEGER AS seg_no, kept[pos + 1].s::DOUBLE AS start_seconds, kept[pos + 1].e::DOUBLE AS end_seconds, kept[pos + 1].t AS text, 'caption' AS kind FROM (SELECT conv_id, kept, unnest(range(len(kept))) AS pos FROM last)")
+def q_vtt(spark, sf_dir):
+    """Conversations written as caption files, with tags, notes and repeated cues, and parsed again."""
+    c = table(spark, sf_dir, "conversations")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    line = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
+    cue = lambda a, b: F.concat(F.lit("00:"), two(F.col("turn")), F.lit(f":{a} --> 00:"), two(F.col("turn")), F.lit(f":{b} align:start\n<v "), F.col("role"), F.lit(">"), line)
+    body = F.concat(cue("00.000", "20.500"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("\n\nNOTE nothing\n\n"), cue("30.000", "50.500"))).otherwise(""))
+    files = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", body.alias("b")))), lambda x: x["b"]), "\n\n").alias("b"))
+    return chunking.parse_vtt(files.select("conv_id", F.concat(F.lit("\ufeffWEBVTT\n\n"), F.col("b")).alias("text")), "conv_id")
+
+
 @register("q_strip_tags", r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS stripped FROM pages")
 def q_strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.strip_tags(F.col("html")), 256).alias("stripped"))
@@ -198,11 +236,11 @@ def q_merge_segments(spark, sf_dir):
 
 
 @register("q_context_blocks", """
-SELECT conv_id, string_agg('[' || (turn + 1)::VARCHAR || '] ' || substr(text, 1, 40) || chr(10) || '    (from video=' || conv_id::VARCHAR || ' @ ' || (CASE WHEN turn % 2 = 0 THEN turn ELSE CASE WHEN ((turn * 15) // 10) % 2 = 0 THEN (turn * 15) // 10 ELSE (turn * 15) // 10 + 1 END END)::VARCHAR || 's)', chr(10) || chr(10) ORDER BY turn) AS context FROM (SELECT conv_id, turn, text FROM conversations) GROUP BY conv_id
+SELECT conv_id, string_agg('[' || (turn + 1)::VARCHAR || '] ' || text || chr(10) || '    (from video=' || conv_id::VARCHAR || ' @ ' || (CASE WHEN turn % 2 = 0 THEN turn ELSE CASE WHEN ((turn * 15) // 10) % 2 = 0 THEN (turn * 15) // 10 ELSE (turn * 15) // 10 + 1 END END)::VARCHAR || 's)', chr(10) || chr(10) ORDER BY turn) AS context FROM (SELECT conv_id, turn, text FROM conversations) GROUP BY conv_id
 """)
 def q_context_blocks(spark, sf_dir):
     seconds = F.when(F.col("turn") % 2 == 0, F.col("turn").cast("double")).otherwise(F.col("turn") * 1.5)
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.context_block(F.col("turn") + 1, F.substring("text", 1, 40), F.col("conv_id").cast("string"), seconds).alias("b"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.context_block(F.col("turn") + 1, F.col("text"), F.col("conv_id").cast("string"), seconds).alias("b"))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "b"))), lambda s: s["b"]), "\n\n").alias("context"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorekeep.functions.order import numbered
 from lorekeep.functions.text import paragraphs
 
 INFO = "id string, title string, uploader string, channel string, channel_id string, duration double, upload_date string, ext string, webpage_url string, description string, view_count long, subtitles map<string,string>, automatic_captions map<string,string>"
@@ -17,9 +19,44 @@ FLAT = "id string, url string, webpage_url string, title string, channel string,
 IMPORTABLE = ("pdf", "mp4", "mp3", "m4a", "wav", "ogg", "txt", "md")
 
 
+def local_kinds(spark: SparkSession, sources: list[str]) -> DataFrame:
+    """(source, local): "directory" or "file" for each source that is an existing path, else null.
+
+    Sources are what a user names on a command line: a short list, looked up by the driver.
+    """
+    rows = []
+    for source in sources:
+        kind = None
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+            store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            if store.exists(path):
+                kind = "directory" if store.getFileStatus(path).isDirectory() else "file"
+        except Exception:  # no path of any known file system
+            kind = None
+        rows.append((source, kind))
+    return spark.createDataFrame(rows, "source string, local string")
+
+
+def contained(root: str, path: str) -> str:
+    """The path with links and dots resolved; an error if it does not lie under root."""
+    inside, top = os.path.realpath(path), os.path.realpath(root)
+    if inside != top and not inside.startswith(top.rstrip(os.sep) + os.sep):
+        raise ValueError(f"{path} does not lie under {root}")
+    return inside
+
+
 def info_json(spark: SparkSession, path: str) -> DataFrame:
-    """Video descriptions; those without an id are an error at use."""
-    rows = spark.read.schema(INFO).json(path, multiLine=True)
+    """Video descriptions in files; those without an id are an error at use."""
+    return _with_id(spark.read.schema(INFO).json(path, multiLine=True))
+
+
+def parse_info(rows: DataFrame, text_col: str = "value") -> DataFrame:
+    """Video descriptions in a text column; broken ones and those without an id are an error at use."""
+    return _with_id(rows.select(F.from_json(F.col(text_col), INFO, {"mode": "FAILFAST"}).alias("e")).select("e.*"))
+
+
+def _with_id(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.when(F.col("id").isNotNull(), F.col("id")).otherwise(F.raise_error(F.lit("video description without id"))))
 
 
@@ -121,12 +158,19 @@ def podcast_feed(xml: Column) -> Column:
     return F.struct(F.xpath_string(xml, F.lit("/rss/channel/title")).alias("title"), F.xpath_string(xml, F.lit("(/rss/channel/item/enclosure[contains(@type,'audio')])[1]/@url")).alias("audio_url"))
 
 
-def import_dir(spark: SparkSession, path: str, extract=None) -> tuple[DataFrame, DataFrame]:
-    """(files, counts): the importable files of a folder in name order with ok and error; failures are counted, not fatal.
+def import_dir(spark: SparkSession, path: str, extract=None, known: DataFrame | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """import_files of a folder."""
+    return import_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), extract, known, force)
+
 
-    ``extract(path, bytes) -> str`` gives a file's text; without it only .txt and .md succeed.
+def import_files(files: DataFrame, extract=None, known: DataFrame | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(files, counts): the importable ones of (path, content) in name order with ok and error; failures are counted, not fatal.
+
+    ``extract(path, bytes) -> str`` gives a file's text; without it only .txt and
+    .md succeed.  Files that ``known`` (path) has are skipped unless forced.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if known is not None and not force:
+        files = files.join(known.select("path"), "path", "left_anti")
     files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*IMPORTABLE)).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,11 +200,20 @@ def estimated_frames(duration: Column, fps: float = 0.1, most: int = 60) -> Colu
     return F.struct(rate.alias("fps"), F.least(F.lit(most), wanted).cast("long").alias("frames"))
 
 
+def frame_times(videos: DataFrame, id_col: str = "video_id", duration_col: str = "duration", fps: float = 0.1, most: int = 60) -> DataFrame:
+    """(id, idx, ts): the frames of each video, numbered from 1, at (idx - 1) / rate seconds."""
+    rate = videos.select(F.col(id_col), estimated_frames(F.col(duration_col), fps, most).alias("e")).where("e.frames > 0")
+    frames = rate.select(id_col, "e.fps", F.explode(F.sequence(F.lit(1).cast("long"), F.col("e.frames"))).alias("idx"))
+    return frames.select(id_col, "idx", ((F.col("idx") - 1) / F.col("fps")).alias("ts"))
+
+
 def push_batch_size(dim: int, target_bytes: int = 50_000) -> int:
     return max(1, target_bytes // (dim * 14 + 32))
 
 
 def push_batches(vectors: DataFrame, dim: int, order: str, by: str | None = None, target_bytes: int = 50_000) -> DataFrame:
     """vectors with batch_no: consecutive rows (of each group) within a request's size."""
-    place = W.partitionBy(by if by else F.lit(0)).orderBy(order)
+    if not by:
+        return numbered(vectors, [order], "__n").withColumn("batch_no", F.floor(F.col("__n") / push_batch_size(dim, target_bytes))).drop("__n")
+    place = W.partitionBy(by).orderBy(order)
     return vectors.withColumn("batch_no", F.floor((F.row_number().over(place) - 1) / push_batch_size(dim, target_bytes)))

@@ -14,16 +14,18 @@ from lorekeep.sources.store import TopicStore
 def ingest_documents(spark: SparkSession, source: str, store: TopicStore, topic: str, checkpoint: str, embedder: Embedder | None = None, config: ChunkConfig = ChunkConfig()) -> StreamingQuery:
     """Chunks, embeds and stores the Parquet files of a folder that were not seen before, then stops.
 
-    Batch numbers order the writes, so a batch that runs again after a failure
-    supersedes itself instead of adding rows.
+    Batch numbers order the writes, counted from the store's last one: a batch
+    that runs again after a failure supersedes itself instead of adding rows,
+    and a new checkpoint never loses against older writes.
     """
+    base = store.last_seq() + 1
     embedder = embedder or HashingEmbedder()
     stream = spark.readStream.schema("doc_id long, text string").parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
         chunks = chunk_documents(batch, config=config)
         vectors = embedder.embed(chunks.select("chunk_id", "text"), "text").select("chunk_id", "embedding")
-        store.ingest(topic, chunks, vectors, number)
+        store.ingest(topic, chunks, vectors, base + number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
