@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import arrow_rows, settle
+from lorekeep.llm.common import arrow_rows, release, settle
 
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 _RESULT = re.compile(r"<tool_result>(.*?)</tool_result>", re.S)
@@ -115,14 +114,17 @@ def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain conversations in the same form: a user's turn calls "reply", the assistant's next turn is its result.
 
-    The call's id is "u" and its turn; from turn 2 on it needs the result of the
-    call two turns before.  Other roles are neither.
+    The call's id is "u" and its turn.  In conversations with an even number it
+    needs, from turn 2 on, the result of the call two turns before; in those with
+    an odd one each call needs the one two turns later, so that they have to be
+    put in order.  Other roles are neither.
     """
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.lit(0).alias("k"), "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     calls = rows.where("role = 'user'")
-    after = F.concat(F.lit("u"), (F.col("turn") - 2).cast("string"))
+    later = F.coalesce(F.col("conv_id") % 2 != 0, F.lit(False))
+    after = F.concat(F.lit("u"), F.when(later, F.col("turn") + 2).otherwise(F.col("turn") - 2).cast("string"))
     # Keys in order and no spaces: this is canonical() of the same value.
-    first = F.col("turn") < 2
+    first = (F.col("turn") < 2) & ~later
     arguments = F.concat(F.when(first, F.lit("{")).otherwise(F.concat(F.lit('{"after":{"$ref":"'), after, F.lit('"},'))), F.lit('"text":'), _json_string(F.col("text")), F.lit("}"))
     calls = calls.select("conv_id", "turn", "k", F.concat(F.lit("u"), F.col("turn").cast("string")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(first, F.array().cast("array<string>")).otherwise(F.array(after)).alias("needs"))
     results = rows.where("role = 'assistant'").select("conv_id", "turn", "k", F.concat(F.lit("u"), (F.col("turn") - 1).cast("string")).alias("call_id"), _json_string(F.col("text")).alias("content"))
@@ -189,21 +191,33 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
 
 
 def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls with a level; see link_tool_calls."""
+    """(conv_id, call_id, level) of the calls with a level; see link_tool_calls.
+
+    A round settles the calls whose needs are settled.  Needs of a call that
+    itself waits for one call only are passed on to that one, so a chain of any
+    length takes a number of rounds that grows with its logarithm.  A round
+    that settles nothing leaves only calls on or behind cycles.
+    """
     forward = settle(edges.where("at >= from").select("conv_id").distinct(), "forward")
     if forward.isEmpty():
         return nodes.select("conv_id", "call_id", F.lit(0).alias("level"))
     plain = nodes.join(forward, "conv_id", "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    left = settle(edges.join(forward, "conv_id", "left_semi").select("conv_id", "call_id", "need").distinct(), "edges")
+    left = settle(edges.join(forward, "conv_id", "left_semi").select("conv_id", "call_id", "need").distinct().withColumn("w", F.lit(1)), "edges")
     done = settle(nodes.join(forward, "conv_id", "left_semi").join(left, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")), "levels")
-    fresh = done
-    for level in itertools.count(1):
-        # Calls that lose their last open need now, one level up.
-        open_ = settle(left.join(fresh.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"), "edges")
-        fresh = settle(left.select("conv_id", "call_id").distinct().join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "levels")
+    while True:
+        known = left.join(done.withColumnsRenamed({"call_id": "need", "level": "of_need"}), ["conv_id", "need"], "left")
+        state = known.groupBy("conv_id", "call_id").agg(F.max(F.col("of_need") + F.col("w")).alias("level"), F.count_if(F.col("of_need").isNull()).alias("open"), F.count("*").alias("needs"), F.min("need").alias("next"), F.min("w").alias("step"))
+        state = settle(state, "states")
+        fresh = state.where("open = 0").select("conv_id", "call_id", "level")
         if fresh.isEmpty():
             break
-        done, left = done.unionByName(fresh), open_
+        waiting = left.join(state.where("open > 0").select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi")
+        through = state.where("open = 1 and needs = 1").select("conv_id", F.col("call_id").alias("need"), "next", "step")
+        passed = waiting.join(through, ["conv_id", "need"], "left").select("conv_id", "call_id", F.coalesce("next", "need").alias("need"), (F.col("w") + F.coalesce("step", F.lit(0))).alias("w"))
+        old = left, done, state
+        left = settle(passed.groupBy("conv_id", "call_id", "need").agg(F.max("w").alias("w")), "edges")
+        done = settle(done.unionByName(fresh), "levels")
+        release(*old)
     return plain.unionByName(done)
 
 

@@ -50,16 +50,18 @@ def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """
-WITH calls AS (SELECT conv_id, turn, coalesce(text, '') AS text, 'u' || turn AS call_id, 'u' || (turn - 2) AS need FROM conversations WHERE role = 'user'),
+WITH calls AS (SELECT conv_id, turn, coalesce(text, '') AS text, 'u' || turn AS call_id, 'u' || CASE WHEN coalesce(conv_id % 2 <> 0, false) THEN turn + 2 ELSE turn - 2 END AS need, coalesce(conv_id % 2 <> 0, false) OR turn >= 2 AS needs FROM conversations WHERE role = 'user'),
+runs AS (SELECT conv_id, turn, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM (SELECT DISTINCT conv_id, turn FROM calls WHERE conv_id % 2 <> 0)),
+levels AS (SELECT conv_id, turn, (max(turn) OVER (PARTITION BY conv_id, turn % 2, run) - turn) // 2 AS level FROM runs),
 results AS (SELECT conv_id, 'u' || (turn - 1) AS call_id, min(turn) AS result_turn, arg_min(coalesce(text, ''), turn) AS rtext, count(*) AS n_results
             FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
 j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, r.result_turn, coalesce(r.n_results, 0) AS n_results,
-             c.text, r.rtext, c.need, (SELECT count(*) FROM calls x WHERE x.conv_id = c.conv_id AND x.call_id = c.need) AS found
+             c.text, r.rtext, c.need, c.needs, (SELECT count(*) FROM calls x WHERE x.conv_id = c.conv_id AND x.call_id = c.need) AS found
       FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id),
-p AS (SELECT *, CASE WHEN turn IS NULL THEN 1 ELSE (text = '')::BIGINT + (turn >= 2 AND found = 0)::BIGINT END AS n_problems FROM j)
-SELECT conv_id, call_id, turn, result_turn, n_results, CASE WHEN turn IS NOT NULL THEN 0 END AS level, n_problems = 0 AS valid, n_problems,
+p AS (SELECT j.*, CASE WHEN j.turn IS NOT NULL THEN coalesce(level, 0) END AS level, CASE WHEN j.turn IS NULL THEN 1 ELSE (text = '')::BIGINT + (needs AND found = 0)::BIGINT END AS n_problems FROM j LEFT JOIN levels l ON l.conv_id = j.conv_id AND l.turn = j.turn)
+SELECT conv_id, call_id, turn, result_turn, n_results, level, n_problems = 0 AS valid, n_problems,
        sha256(CASE WHEN turn IS NULL THEN '{"id":"' || call_id || '","result":' || coalesce(to_json(rtext)::VARCHAR, 'null') || '}'
-                   ELSE '{"arguments":{' || CASE WHEN turn >= 2 THEN '"after":{"$ref":"' || need || '"},' ELSE '' END || '"text":' || to_json(text)::VARCHAR || '},"id":"' || call_id || '","name":"reply","result":' || coalesce(to_json(rtext)::VARCHAR, 'null') || '}' END) AS record_sha256
+                   ELSE '{"arguments":{' || CASE WHEN needs THEN '"after":{"$ref":"' || need || '"},' ELSE '' END || '"text":' || to_json(text)::VARCHAR || '},"id":"' || call_id || '","name":"reply","result":' || coalesce(to_json(rtext)::VARCHAR, 'null') || '}' END) AS record_sha256
 FROM p
 """
 

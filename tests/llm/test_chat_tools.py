@@ -53,6 +53,20 @@ def test_links_levels_and_records(spark):
     assert ct.link_tool_calls(c.limit(0), r.limit(0), SCHEMAS).count() == 0
 
 
+def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch):
+    n = 700
+    calls = [(1, k, 0, f"c{k}", "add", "{}", [f"c{k + 1}"] if k < n - 1 else []) for k in range(n)]
+    calls += [(2, 0, 0, "a", "add", "{}", ["b"]), (2, 1, 0, "b", "add", "{}", ["a"]), (2, 2, 0, "behind", "add", "{}", ["a"]), (2, 3, 0, "own", "add", "{}", ["own"]), (2, 4, 0, "free", "add", "{}", [])]
+    tables = []
+    real = ct.settle
+    monkeypatch.setattr(ct, "settle", lambda df, label: tables.append(label) or real(df, label))
+    rows = ct.link_tool_calls(spark.createDataFrame(calls, ct.CALLS), spark.createDataFrame([], ct.RESULTS), SCHEMAS).collect()
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in rows}
+    assert all(got[(1, f"c{k}")] == n - 1 - k for k in range(n))
+    assert [got[(2, c)] for c in ("a", "b", "behind", "own", "free")] == [None, None, None, None, 0]
+    assert len(tables) < 50
+
+
 def test_extract_and_plain_turns(spark):
     call = '<tool_call>{"id":"a","name":"add","arguments":{"b":{"$ref":"z"},"a":1}}</tool_call>'
     rows = [(1, 0, f"hi {call} and <tool_call>no json</tool_call>", "user"), (1, 1, '<tool_result>{"id":"a","content":[1, 2]}</tool_result>', "tool"), (2, 0, None, "user"), (2, 1, 'q"\n\\é', "assistant"), (2, 2, "", "user"), (3, 5, "alone", "assistant")]
