@@ -476,13 +476,13 @@ def _nodes(e):
 
 
 @register("q_pagerank", f"""
-WITH RECURSIVE e AS ({_EDGES}), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), n AS (SELECT count(*)::DOUBLE AS n FROM v), o AS (SELECT src, count(*) AS o FROM e GROUP BY src),
-s AS (SELECT e.src, e.dst, 1.0::DOUBLE / o AS share FROM e JOIN o ON e.src = o.src),
-r AS (SELECT 0 AS i, map_from_entries(list((node, 1.0::DOUBLE / n))) AS m FROM v, n
+WITH RECURSIVE e AS ({_EDGES}), v AS (SELECT node, row_number() OVER (ORDER BY node) AS id FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)), n AS (SELECT count(*)::DOUBLE AS n FROM v),
+o AS (SELECT src, count(*) AS o FROM e GROUP BY src), s AS (SELECT a.id AS src, b.id AS dst, 1.0::DOUBLE / o AS share FROM e JOIN o ON e.src = o.src JOIN v a ON a.node = e.src JOIN v b ON b.node = e.dst),
+sinks AS (SELECT list(id) AS ids FROM v WHERE id NOT IN (SELECT src FROM s)),
+r AS (SELECT 0 AS i, list_transform(range(n::BIGINT), lambda x: 1.0::DOUBLE / n) AS m FROM n
   UNION ALL
-  SELECT i + 1, (SELECT map_from_entries(list((v.node, 0.15 / n + 0.85 * (coalesce(g.gain, 0) + lost / n)))) FROM v LEFT JOIN (SELECT dst, sum(share * r.m[src]) AS gain FROM s GROUP BY dst) g ON g.dst = v.node, n,
-    (SELECT coalesce(sum(r.m[node]), 0) AS lost FROM v WHERE node NOT IN (SELECT src FROM o))) FROM r WHERE i < 100)
-SELECT unnest(map_keys(m)) AS node, round(unnest(map_values(m)), 6) AS rank FROM r WHERE i = 100
+  SELECT i + 1, (SELECT list(0.15 / n + 0.85 * (coalesce(g.gain, 0) + list_sum(list_transform(ids, lambda k: r.m[k])) / n) ORDER BY v.id) FROM v LEFT JOIN (SELECT dst, sum(share * r.m[src]) AS gain FROM s GROUP BY dst) g ON g.dst = v.id, n, sinks) FROM r WHERE i < 100)
+SELECT node, round(m[id], 6) AS rank FROM v, r WHERE i = 100
 """)
 def q_pagerank(spark, sf_dir):
     e = _edges(spark, sf_dir)
