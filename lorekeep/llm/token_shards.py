@@ -111,7 +111,7 @@ class WordMemoEncoder:
                 raise ValueError("this tokenizer does not drop white space")
         if self._library("Àé,.") != self._library("àé") + self._library(",."):
             raise ValueError("this tokenizer does not lower case or part letters from punctuation")
-        self.words, self.stems, self.marks = _Generations(memo_words), _Generations(memo_words), _Generations(10_000)
+        self.words, self.marks = _Generations(memo_words), _Generations(10_000)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -125,58 +125,74 @@ class WordMemoEncoder:
     def _encode_stems(self, stems: list[str]) -> list[bytes]:
         """Runs of letters, many in a call: the ends of words tell them apart."""
         out = []
-        for at in range(0, len(stems), 500):
-            some = stems[at : at + 500]
+        for at in range(0, len(stems), 1000):
+            some = stems[at : at + 1000]
             ids = np.array(self._library(" ".join(some)), "<u4")
-            cuts = np.nonzero(self.ends[ids])[0] + 1
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                out += [x.tobytes() for x in np.split(ids, cuts[:-1])]
+            cuts = ((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist()
+            if len(cuts) == len(some) and cuts[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                out += [raw[i:j] for i, j in zip([0, *cuts], cuts)]
             else:
                 out += self._encode_each(some)
         return out
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
-        plain, odd = [], []
+        plain, odd, stems = [], [], {}
+        young, old, latin, marks = self.words.get, self.words.old.get, self.LATIN, self.MARKS
         for w in missing:
-            value = self.words.find(w)
+            value = old(w)
             if value is not None:
                 found[w] = value
                 continue
-            stem = w.rstrip(self.MARKS)
-            if stem.isalpha() and (stem.isascii() or self.LATIN(stem)):
-                plain.append((w, stem.lower(), w[len(stem) :]))
+            stem = w if w.isalpha() else w.rstrip(marks)
+            if stem.isalpha() and (stem.isascii() or latin(stem)):
+                low = stem.lower()
+                plain.append((w, low, w[len(stem) :]))
+                if low not in stems:
+                    stems[low] = young(low) or old(low)
             elif w:
                 odd.append(w)
             else:
                 found[w] = b""
-        stems = {s: self.stems.find(s) for _, s, _ in plain}
         new = [s for s, v in stems.items() if v is None]
-        for s, v in zip(new, self._encode_stems(new)):
-            stems[s] = v
-            self.stems.put(s, v)
-        for w, s, mark in plain:
-            tail = self.marks.find(mark) if mark else b""
-            if tail is None:
-                tail = self._encode_each([mark])[0]
-                self.marks.put(mark, tail)
-            found[w] = stems[s] + tail
-        for w, v in zip(odd, self._encode_each(odd) if odd else []):
-            found[w] = v
+        stems.update(zip(new, self._encode_stems(new)))
+        for w, low, mark in plain:
+            if mark:
+                tail = self.marks.find(mark)
+                if tail is None:
+                    tail = self._encode_each([mark])[0]
+                    self.marks.put(mark, tail)
+                found[w] = stems[low] + tail
+                if len(low) <= 64:
+                    self.words.put(low, stems[low])
+            else:
+                found[w] = stems[low]
+        found.update(zip(odd, self._encode_each(odd) if odd else []))
         for w, v in found.items():
             if len(w) <= 64:
                 self.words.put(w, v)
         return found
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            parts = list(map(self.words.get, words))
-            if None in parts:
-                found = self._learn({w for w, p in zip(words, parts) if p is None})
-                parts = [found[w] if p is None else p for w, p in zip(words, parts)]
-            yield b"".join(parts)
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Words that are new to the memo are gathered over some texts, so that the
+        library is asked seldom.
+        """
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or (end < at + 32 and size < 200_000)):
+                size += len(texts[end])
+                end += 1
+            cut = [t.replace("\n", " ").split(" ") for t in texts[at:end]]
+            parts = [list(map(self.words.get, words)) for words in cut]
+            missing = {w for words, own in zip(cut, parts) if None in own for w, p in zip(words, own) if p is None}
+            found = self._learn(missing) if missing else {}
+            for words, own in zip(cut, parts):
+                yield b"".join([found[w] if p is None else p for w, p in zip(words, own)] if found and None in own else own)
+            at = end
 
 
 @lru_cache(maxsize=4)
@@ -193,7 +209,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int | N
 
     Returns the manifest, one row per shard: shard, path, n_docs, n_tokens,
     n_bytes; the index lies at path + ".idx".  Null texts count as empty (the
-    end id alone), null ids come first, equal ids stay together in the order of
+    end id alone), null ids come first, equal ids follow each other in the order of
     their texts' hashes, other columns are ignored; an empty table gives no
     shard.  Rows are dealt by ranges of the id, and each task streams one shard,
     so memory is one Arrow batch.
@@ -201,7 +217,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int | N
     arrow_rows(docs.sparkSession)
     n = shards or partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    # The hash parts rows that share an id, or have none, among shards.
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(out)
