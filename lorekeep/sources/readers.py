@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,6 +28,9 @@ def local_kinds(spark: SparkSession, sources: list[str]) -> DataFrame:
     rows = []
     for source in sources:
         kind = None
+        if re.match(r"(?i)https?:", source):  # never asked over a network
+            rows.append((source, None))
+            continue
         try:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
             store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
