@@ -43,6 +43,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (five-word shingles, 0.8 or more).
 
+    SimHash links of the vantage-point trees, completed by MinHash bands where
+    copies are more than three bits apart; every pair verified.
+
     Rows without an id stay; of texts without words the one with the smallest id
     stays; rows that repeat an id stay or go together.
     """

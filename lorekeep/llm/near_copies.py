@@ -1,4 +1,10 @@
-"""Texts whose word shingles agree: MinHash bands for candidates, exact Jaccard for each pair."""
+"""Near copies by word shingles: SimHash links first, MinHash bands for what they cannot reach, exact Jaccard for each pair.
+
+Fingerprints at most three bits apart come from the vantage-point trees of
+simhash.py.  At a Jaccard of 0.8 the fingerprints of two texts differ by some
+ten bits of 64, too many for any metric tree over them, so bands of MinHash
+values add the pairs further apart.  All pairs are verified on the shingles.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import arrow_rows, connected_components, settle
-from lorekeep.llm.simhash import Forest
+from lorekeep.llm.common import arrow_rows, connected_components, release, settle
+from lorekeep.llm.simhash import Forest, fingerprint, link_fingerprints
 
 BANDS, ROWS = 30, 5
 _RNG = np.random.default_rng(11)
@@ -45,7 +51,7 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), b) >> 1 for b, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, cell_rows: int = 500) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, reach: int = 3, cell_rows: int = 500) -> DataFrame:
     """(id_col, component_id): the smallest id reachable over pairs with a shingle Jaccard of ``similarity`` or more.
 
     Texts with equal shingle sets are one row from the start, texts without
@@ -60,15 +66,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=[id_col, "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]), pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array(np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64))], names=[id_col, "digest", "bands", "fp"])
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).cast("binary").alias("t"))
-    sketched = settle(texts.mapInArrow(sketch, f"`{id_col}` {kind}, digest binary, bands array<long>"), "sketches")
-    reps = settle(sketched.groupBy("digest").agg(F.min(id_col).cast("long").alias("rep"), F.first("bands").alias("bands")), "reps")
+    sketched = settle(texts.mapInArrow(sketch, f"`{id_col}` {kind}, digest binary, bands array<long>, fp long"), "sketches")
+    reps = settle(sketched.groupBy("digest").agg(F.min(id_col).cast("long").alias("rep"), F.first("bands").alias("bands"), F.min("fp").alias("fp")), "reps")
     members = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s")).where("n > 1")
     buckets = settle(buckets.groupBy("n", "s").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n"), "buckets")
-    dealt = settle(members.join(buckets, ["band", "key"]), "members")
+    # SimHash: a bucket for each fingerprint that several texts have, and for each link between two.
+    prints = settle(reps.where(F.size("bands") > 0).groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "prints")
+    near = settle(link_fingerprints(prints.select("fp", F.col("fp").alias("rep")), reach), "near")
+    ends = near.select(F.xxhash64("src", "dst").alias("key"), F.explode(F.array("src", "dst")).alias("fp")).join(prints.select("fp", "rep"), "fp").select(F.lit(-1).alias("band"), "key", "rep", F.lit(2).cast("long").alias("n"))
+    alike = reps.select("rep", "fp").join(prints.where("n > 1").select("fp", "n"), "fp").select(F.lit(-2).alias("band"), F.col("fp").alias("key"), "rep", "n")
+    banded = members.join(buckets, ["band", "key"]).select("band", "key", "rep", "n")
+    dealt = settle(banded.unionByName(ends).unionByName(alike), "members")
+    release(prints, near, buckets)
     chunks = F.ceil(F.col("n") / cell_rows).cast("int")
     cells = dealt.withColumn("g", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     cells = cells.select("band", "key", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "chunk", "rep")
@@ -103,5 +116,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links = settle(cells.join(grams, "rep").groupBy("band", "key", "i", "j").applyInArrow(match, "src long, dst long"), "links")
     parts = connected_components(links)
+    release(dealt, grams)
     classes = reps.join(parts, reps["rep"] == parts["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return sketched.join(classes, "digest").select(id_col, "component_id")
