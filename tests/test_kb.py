@@ -76,7 +76,7 @@ def test_guards(spark):
     inbound = [r[0] for r in df.select(guards.scan_inbound(F.col("t"))["reasons"]).collect()]
     assert [len(x) for x in inbound[:12]] == [1] * 12 and [x[0] for x in inbound[:12]] == [n for n, _ in guards.INBOUND]
     out = [r[0] for r in df.select(guards.scan_outbound(F.col("t"), F.lit(3))["reasons"]).collect()]
-    assert out[15] == ["citation: 7"] and out[16] == [] and out[12] == ["harm: violence"]
+    assert out[15] == ["citation: 7"] and out[16] == [] and out[12] == ["harm: explicit-violence-instruction"]
 
 
 def test_provenance(spark):
