@@ -128,6 +128,26 @@ def _search(queries: np.ndarray, members: np.ndarray, fps: np.ndarray, reach: in
     yield from _search(queries[dq > mu - reach], members[~left], fps, reach, depth + 1)
 
 
+#: Rows from which a shard is searched by blocks of bits: only shards of a tree that its sample cannot grow deeper.
+DENSE_ROWS = 20_000
+
+
+def _by_blocks(fps: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within reach of one shard, some more than once: they agree in one of reach + 1 blocks of bits."""
+    width = 64 // (reach + 1)
+    for b in range(reach + 1):
+        key = (fps >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+            own = order[start:stop]
+            step = max(1, 1_000_000 // len(own))
+            for i in range(0, len(own) if len(own) > 1 else 0, step):
+                block = own[i : i + step]
+                q, m = np.nonzero(np.bitwise_count(fps[block][:, None] ^ fps[own][None, :]) <= reach)
+                yield block[q], own[m]
+
+
 class Forest:
     """Union-find over the rows of one block; keeps only links that join two trees."""
 
@@ -149,7 +169,7 @@ class Forest:
         return True
 
 
-def link_fingerprints(fps: DataFrame, reach: int = 3, leaf_rows: int | None = None, sample_rows: int = 65_536, cell_rows: int = 20_000) -> DataFrame:
+def link_fingerprints(fps: DataFrame, reach: int = 3, leaf_rows: int | None = None, sample_rows: int = 65_536, cell_rows: int = 2_000_000) -> DataFrame:
     """Spanning links between distinct fingerprints at most ``reach`` bits apart.
 
     ``fps`` has fp and rep (long), one row per distinct fingerprint.  Returns
@@ -159,14 +179,16 @@ def link_fingerprints(fps: DataFrame, reach: int = 3, leaf_rows: int | None = No
     A tree over a bounded sample deals every fingerprint to the shard of its
     leaf and to those its ball overlaps.  Shards hold about ``leaf_rows`` (by
     default in proportion to the root of all rows); one with over
-    ``cell_rows`` is cut into chunks, compared pair by pair in cells of bounded size.
+    ``cell_rows`` is cut into chunks, compared pair by pair in cells of bounded
+    size.  The sample bounds the depth of the tree: shards that stay large are
+    searched by blocks of bits instead of pairs.
     """
     spark = fps.sparkSession
     arrow_rows(spark)
     total = fps.count()
     if not total:
         return fps.select(F.col("rep").alias("src"), F.col("rep").alias("dst"))
-    leaf_rows = leaf_rows or min(cell_rows, max(1_000, int(6 * total**0.5)))
+    leaf_rows = leaf_rows or max(1_000, int(6 * total**0.5))
     sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).select("fp")
     tree = VpTree(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64), total, leaf_rows, reach)
     shared = spark.sparkContext.broadcast(tree)
@@ -174,26 +196,26 @@ def link_fingerprints(fps: DataFrame, reach: int = 3, leaf_rows: int | None = No
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for leaf, rows in shared.value.route(own.view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int32)), pa.array(own[rows]), pa.array(rep[rows])], names=["leaf", "fp", "rep"])
+            placed = list(shared.value.route(own.view(np.uint64)))
+            leaf = np.concatenate([np.full(len(rows), k, np.int32) for k, rows in placed]) if placed else np.array([], np.int32)
+            rows = np.concatenate([rows for _, rows in placed]) if placed else np.array([], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(own[rows]), pa.array(rep[rows])], names=["leaf", "fp", "rep"])
 
     dealt = settle(fps.select("fp", "rep").mapInArrow(deal, "leaf int, fp long, rep long"), "shards")
-    # One row per shard that is too large: a count bounded by the sample.
-    large = {r["leaf"]: -(-r["n"] // cell_rows) for r in dealt.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).collect()}
-    cells = dealt.where(~F.col("leaf").isin(list(large)) if large else F.lit(True)).select("leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("chunk"), "fp", "rep")
-    if large:
-        chunks = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])
-        cut = dealt.where(F.col("leaf").isin(list(large))).withColumn("g", chunks[F.col("leaf")]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
-        cut = cut.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        cells = cells.unionByName(cut.select("leaf", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "chunk", "fp", "rep"))
+    # One row per leaf of the tree: a count bounded by the sample.
+    sizes = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("g"))
+    cut = dealt.join(F.broadcast(sizes), "leaf").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
+    cut = cut.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cells = cut.select("leaf", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "chunk", "fp", "rep")
 
     def match(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         fp, rep, chunk = table["fp"].to_numpy().view(np.uint64), table["rep"].to_numpy(), table["chunk"].to_numpy()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         forest, src, dst = Forest(len(fp)), [], []
-        for q, m in _search(np.nonzero(chunk == j)[0], np.nonzero(chunk == i)[0], fp, reach):
-            keep = q < m if i == j else slice(None)
+        left, right = np.nonzero(chunk == j)[0], np.nonzero(chunk == i)[0]
+        for q, m in _search(left, right, fp, reach) if len(fp) <= DENSE_ROWS else _by_blocks(fp, reach):
+            keep = q < m if i == j else chunk[q] != chunk[m]
             for a, b in zip(q[keep].tolist(), m[keep].tolist()):
                 if forest.join(a, b):
                     src.append(a)

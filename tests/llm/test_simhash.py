@@ -36,7 +36,7 @@ def test_fingerprint_equals_brute_force():
         assert simhash.fingerprint(t.encode() if t is not None else None) == brute_print(t)
 
 
-def test_links_are_exact(spark):
+def test_links_are_exact(spark, monkeypatch):
     rnd = random.Random(5)
     seeds = [rnd.getrandbits(64) for _ in range(60)]
     fps = set(seeds)
@@ -50,7 +50,8 @@ def test_links_are_exact(spark):
     rows = [(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)]
     want = brute_components(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
     df = spark.createDataFrame(rows, "fp long, rep long")
-    for size in ({"leaf_rows": 50}, {"leaf_rows": 300, "cell_rows": 40}, {}):
+    for dense, size in ((20_000, {"leaf_rows": 50}), (20_000, {"leaf_rows": 300, "cell_rows": 40}), (20_000, {}), (30, {"leaf_rows": 300}), (30, {"leaf_rows": 300, "cell_rows": 200})):
+        monkeypatch.setattr(simhash, "DENSE_ROWS", dense)
         links = simhash.link_fingerprints(df, **size)
         got = {n: n for n in range(len(fps))} | {r[0]: r[1] for r in connected_components(links).collect()}
         assert got == want
