@@ -60,7 +60,9 @@ def _block_join(vectors: DataFrame, id_col: str, vector_col: str, block_rows: in
         n = np.linalg.norm(v, axis=1)
         v = v / np.where(n > 0, n, 1.0)[:, None]
         left, right = c == i, c == j
-        return pa.table(compare(ids[left], ids[right], v[left] @ v[right].T, i == j))
+        found = compare(ids[left], ids[right], v[left] @ v[right].T, i == j)
+        kind = table.schema.field("id").type
+        return pa.table({k: pa.array(x, kind if k in ("a", "b") else pa.float64()) for k, x in found.items()})
 
     # A cell that lacks one of its two blocks has nothing to compare.
     full = cut.groupBy("i", "j").agg(F.count_distinct("c").alias("blocks")).where((F.col("blocks") == 2) | (F.col("i") == F.col("j"))).select("i", "j")
