@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import arrow_rows, connected_components, settle
+from lorekeep.llm.common import arrow_rows, connected_components, least_by_hash, settle
 
 SEED = 42
 
@@ -189,7 +189,7 @@ def link_fingerprints(fps: DataFrame, reach: int = 3, leaf_rows: int | None = No
     if not total:
         return fps.select(F.col("rep").alias("src"), F.col("rep").alias("dst"))
     leaf_rows = leaf_rows or max(1_000, int(6 * total**0.5))
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).select("fp")
+    sample = least_by_hash(fps.select("fp"), "fp", sample_rows)
     tree = VpTree(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64), total, leaf_rows, reach)
     shared = spark.sparkContext.broadcast(tree)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import arrow_rows, release, settle
+from lorekeep.llm.common import arrow_rows, least_by_hash, release, settle
 
 #: Look-alikes of Latin letters and digit substitutions (fixed values).
 HOMOGLYPHS = {
@@ -147,7 +147,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     spark = docs.sparkSession
     arrow_rows(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(train)
-    known = known.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__y")).orderBy(F.xxhash64(id_col), id_col).limit(labelled_rows)
+    known = known.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
+    known = settle(least_by_hash(known, id_col, labelled_rows), "known")
     texts = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = labelled = settle(texts.join(F.broadcast(known), id_col), "labelled")
     # Copies of one text would make all its words look alike: each text counts once for a label.
