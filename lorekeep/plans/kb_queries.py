@@ -272,6 +272,20 @@ def q_contradiction(spark, sf_dir):
     return coherence.contradiction_rate(table(spark, sf_dir, "embeddings"), "vec_id").select(F.round("rate", 6).alias("rate"))
 
 
+@register("q_health", f"""
+WITH v AS ({_NEAR}), n AS (SELECT e, coalesce(lead(e) OVER (ORDER BY id), (SELECT e FROM v ORDER BY id LIMIT 1)) AS f FROM v),
+p AS (SELECT i, avg(e[i]) AS m FROM v, range(1, 65) t(i) GROUP BY i), c AS (SELECT list(m ORDER BY i) AS c FROM p)
+SELECT (SELECT count(*) FROM v) AS n, round((SELECT avg((list_inner_product(e, f) < 0)::INTEGER) FROM n), 6) AS contradiction_rate,
+  (SELECT count(*) FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.95) AS near_copies, round((SELECT avg((list_cosine_similarity(e, c) >= 0.5)::INTEGER) FROM v, c), 6) AS workspace, 0.0::DOUBLE AS integrated, 'Disjoint' AS label
+""")
+def q_health(spark, sf_dir):
+    """Health and coherence in one row; the vectors are so loosely connected that the first two places of the score are zeros."""
+    v = _near(spark, sf_dir)
+    health, kpi = coherence.kb_health(v), coherence.coherence_kpi(v)
+    row = (v.count(), round(health["contradiction_rate"], 6), health["near_copies"], round(kpi["workspace"], 6), round(kpi["integrated"], 2), kpi["label"])
+    return spark.createDataFrame([row], "n long, contradiction_rate double, near_copies long, workspace double, integrated double, label string")
+
+
 @register("q_kpi_label", "SELECT event_id, CASE WHEN s < 0.30 THEN 'Disjoint' WHEN s < 0.60 THEN 'Loose' WHEN s < 0.85 THEN 'Coherent' ELSE 'HighlyIntegrated' END AS label, CASE WHEN s > 0.30 THEN 'full' WHEN s < 0.015 THEN 'skip' ELSE 'probe' END AS frames FROM (SELECT event_id, (event_id % 101) / 100.0::DOUBLE AS s FROM events)")
 def q_kpi_label(spark, sf_dir):
     s = (F.col("event_id") % 101) / F.lit(100.0)
