@@ -38,7 +38,7 @@ from lorekeep.llm.common import arrow_rows, partitions, settle, shared_path
 #: Fixed values of the record framing.
 MASK_DELTA, MASK_TURN = 0xA282EAD8, 15
 INDEX_ENTRY = np.dtype([("offset", "<u8"), ("start", "<u8"), ("n", "<u4")])
-MEMO_WORDS = 500_000
+MEMO_WORDS = 350_000
 
 
 def masked_crc(data: bytes) -> int:
