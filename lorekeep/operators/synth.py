@@ -84,9 +84,9 @@ def answer(synthesizer: Synthesizer, questions: DataFrame, hits: DataFrame, mode
     made = (synthesizer.ask if mode == "ask" else synthesizer.apply)(safe).withColumn("outbound", scan_outbound(F.col("text"), F.col("n_hits")))
     none = F.array().cast("array<string>")
     quiet = (F.col("outbound.verdict") != "safe") | abstained(F.col("text"))
-    text = F.when(F.col("outbound.verdict") != "safe", F.concat(F.lit("AIMDS blocked output: "), F.array_join("outbound.reasons", "; "))).otherwise(F.col("text"))
+    text = F.when(F.col("outbound.verdict") != "safe", F.concat(F.lit("blocked output: "), F.array_join("outbound.reasons", "; "))).otherwise(F.col("text"))
     told = made.select("query_id", text.alias("text"), F.when(quiet, none).otherwise(F.coalesce("citations", none)).alias("citations"), quiet.alias("abstained"))
-    blocked = asked.where("inbound.verdict <> 'safe'").select("query_id", F.concat(F.lit("AIMDS blocked input: "), F.array_join("inbound.reasons", "; ")).alias("text"), none.alias("citations"), F.lit(True).alias("abstained"))
+    blocked = asked.where("inbound.verdict <> 'safe'").select("query_id", F.concat(F.lit("blocked input: "), F.array_join("inbound.reasons", "; ")).alias("text"), none.alias("citations"), F.lit(True).alias("abstained"))
     return told.unionByName(blocked)
 
 
