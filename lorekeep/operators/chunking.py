@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -179,16 +180,22 @@ def rolling_dedupe(segments: DataFrame, by: list[str], order: str, text_col: str
     tell it.  Groups are sorted by the shuffle and folded as they stream by: the
     state is the last kept text, whatever a group's size.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
     rows = segments.select(*by, F.col(order).cast("long").alias("o"), F.col(text_col).alias("t")).repartition(*by).sortWithinPartitions(*by, "o", "t")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, pos, text, last = None, -1, None, None
-        for pdf in batches:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pos, text, last, kinds = None, -1, None, None, []
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [[] for _ in kinds]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[*by, "pos", "text", "last_order"])
+
+        for batch in batches:
+            kinds = [*batch.schema.types[: len(by)], pa.int32(), pa.string(), pa.int64()]
             out = []
-            for *own, o, t in pdf.itertuples(index=False, name=None):
+            for *own, o, t in zip(*(c.to_pylist() for c in batch.columns)):
                 if own != key:
-                    if key is not None and text is not None:
+                    if text is not None:
                         out.append((*key, pos, text, last))
                     key, pos, text = own, -1, None
                 t = t or ""
@@ -199,11 +206,11 @@ def rolling_dedupe(segments: DataFrame, by: list[str], order: str, text_col: str
                 if text is not None:
                     out.append((*key, pos, text, last))
                 pos, text, last = pos + 1, t if tail is None else tail, o
-            yield pd.DataFrame(out, columns=[*by, "pos", "text", "last_order"])
-        if key is not None and text is not None:
-            yield pd.DataFrame([(*key, pos, text, last)], columns=[*by, "pos", "text", "last_order"])
+            yield made(out)
+        if text is not None:
+            yield made([(*key, pos, text, last)])
 
-    return rows.mapInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", pos int, text string, last_order long")
+    return rows.mapInArrow(fold, ", ".join(f"`{c}` {types[c]}" for c in by) + ", pos int, text string, last_order long")
 
 
 def merge_segments(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -162,9 +162,9 @@ def test_chain_goes_on_from_a_head(spark):
 
 
 def test_rolling_captions_of_empty_and_null_texts(spark):
-    rows = [(1, 0, None), (1, 1, "a"), (1, 2, "a b"), (2, 0, "x"), (2, 1, "x"), (3, 0, "")]
-    got = sorted(map(tuple, chunking.rolling_dedupe(spark.createDataFrame(rows, "g long, o long, text string"), ["g"], "o").collect()))
-    assert got == [(1, 0, "", 0), (1, 1, "a", 1), (1, 2, "b", 2), (2, 0, "x", 1), (3, 0, "", 0)]
+    rows = [(1, 0, None), (1, 1, "a"), (1, 2, "a b"), (2, 0, "x"), (2, 1, "x"), (3, 0, ""), (None, 0, "n"), (None, 1, "n m")]
+    got = sorted(map(tuple, chunking.rolling_dedupe(spark.createDataFrame(rows, "g long, o long, text string"), ["g"], "o").collect()), key=str)
+    assert got == [(1, 0, "", 0), (1, 1, "a", 1), (1, 2, "b", 2), (2, 0, "x", 1), (3, 0, "", 0), (None, 0, "n", 0), (None, 1, "m", 1)]
 
 
 def test_card_numbers_out_of_range_are_dropped(spark):
