@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import decontaminate, line_templates, near_copies, spm, toxicity
-from lorekeep.llm.common import settle
+from lorekeep.llm.common import settle, small
 
 #: SQL cannot express the stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -50,8 +50,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stays; rows that repeat an id stay or go together.
     """
     groups = near_copies.near_copies(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    gone = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept")).where("not kept").select("doc_id")
+    # Fewer go than stay: their ids are what is joined, so the texts are not shuffled while they are few.
+    return docs.join(small(settle(gone, "gone")), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

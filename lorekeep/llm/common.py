@@ -64,6 +64,15 @@ def least_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(h, key).limit(rows)
 
 
+#: Rows of a hash or id and at most two short columns that are broadcast: some 10 MB.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marks a settled table for broadcast if it was counted to be small; else its join stays a shuffle join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,12 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import settle
+from lorekeep.llm.common import settle, small
 
 #: Tokens that look variable: numbers and whatever holds a digit, addresses.
 VARIABLE = r"\S*[0-9@]\S*"
-#: Rows of a hash and at most two short columns: some 10 MB of broadcast.
-BROADCAST_ROWS = 200_000
 
 
 def _tree(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
@@ -59,11 +57,6 @@ def _tree(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marks df for broadcast if it was counted to be small; else the join stays a shuffle join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _surroundings(uses: DataFrame, least: int) -> DataFrame:
     """Templates with at least ``least`` different lines before and after; uses: tpl, before, after."""
     sides = uses.select("tpl", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("h")), F.struct(F.lit(1).alias("side"), F.col("after").alias("h")))).alias("s")).select("tpl", "s.side", "s.h")
@@ -80,11 +73,11 @@ def _around_blocks(lines: DataFrame, least: int) -> DataFrame:
     """
     wide = lines.groupBy("mask").agg(F.count("*").alias("c"), F.min("th").alias("t0"), F.max("th").alias("t1")).where((F.col("c") >= least) & (F.col("t0") != F.col("t1"))).select("mask")
     wide = settle(wide, "wide")
-    texts = lines.join(_small(wide), "mask").select("mask", "th").distinct().groupBy("mask").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
+    texts = lines.join(small(wide), "mask").select("mask", "th").distinct().groupBy("mask").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
     recurring = settle(texts.select("mask", F.lit(True).alias("recurs")), "recurring")
-    held = settle(lines.join(_small(recurring), "mask").select("th").distinct(), "held")
-    rows = lines.select("th", "pos", "size", "h", "mask").join(_small(held), "th", "left_semi").dropDuplicates(["th", "pos"])
-    rows = rows.join(_small(recurring), "mask", "left").withColumn("alone", F.when(F.col("recurs").isNull(), F.col("h")))
+    held = settle(lines.join(small(recurring), "mask").select("th").distinct(), "held")
+    rows = lines.select("th", "pos", "size", "h", "mask").join(small(held), "th", "left_semi").dropDuplicates(["th", "pos"])
+    rows = rows.join(small(recurring), "mask", "left").withColumn("alone", F.when(F.col("recurs").isNull(), F.col("h")))
     text = W.partitionBy("th")
     rows = rows.withColumn("of", F.sum("size").over(text)).withColumn("again", F.sum(F.when(F.col("recurs"), F.col("size")).otherwise(0)).over(text))
     for side, order in (("b", F.col("pos").asc()), ("a", F.col("pos").desc())):
@@ -104,12 +97,12 @@ def _forms(lines: DataFrame, least: int, depth: int, constant_share: float, min_
     leaves = lines.groupBy("leaf", "mask").agg(F.count("*").alias("c"), F.min("th").alias("t0"), F.max("th").alias("t1"))
     leaves = leaves.groupBy("leaf").agg(F.sum("c").alias("c"), F.count("*").alias("kinds"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
     leaves = settle(leaves.where((F.col("c") >= least) & (F.col("kinds") >= 2) & (F.col("t0") != F.col("t1"))).select("leaf"), "leaves")
-    in_leaf = settle(lines.join(_small(leaves), "leaf").select("leaf", "th", "mask", "n", "masked").distinct(), "in-leaf")
+    in_leaf = settle(lines.join(small(leaves), "leaf").select("leaf", "th", "mask", "n", "masked").distinct(), "in-leaf")
     texts = in_leaf.select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))
     texts = settle(texts.where(F.col("texts") >= least), "texts")
-    words = in_leaf.join(_small(texts), "leaf").select("leaf", "th", F.posexplode(F.split("masked", " ")).alias("p", "w"))
+    words = in_leaf.join(small(texts), "leaf").select("leaf", "th", F.posexplode(F.split("masked", " ")).alias("p", "w"))
     support = words.distinct().groupBy("leaf", "p", "w").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    kinds = in_leaf.select("leaf", "mask", "n", "masked").distinct().join(_small(texts), "leaf")
+    kinds = in_leaf.select("leaf", "mask", "n", "masked").distinct().join(small(texts), "leaf")
     tokens = kinds.select("leaf", "mask", "n", "texts", F.posexplode(F.split("masked", " ")).alias("p", "w")).join(support, ["leaf", "p", "w"])
     tokens = tokens.groupBy("leaf", "mask", "n", "texts").agg(F.sort_array(F.collect_list(F.struct("p", "w", "c"))).alias("tokens"))
     top = F.ceil(F.col("texts") * constant_share).cast("long")
@@ -130,17 +123,17 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = every.where((F.col("n") >= min_tokens) & (F.col("size") >= min_chars))
     often = lines.groupBy("mask").agg(F.count("*").alias("c"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"))
     often = settle(often.where((F.col("c") >= least) & (F.col("b0") != F.col("b1")) & (F.col("a0") != F.col("a1"))).select(F.col("mask").alias("tpl")), "often")
-    masks = _surroundings(lines.join(_small(often), lines["mask"] == often["tpl"]).select("tpl", "before", "after"), least)
+    masks = _surroundings(lines.join(small(often), lines["mask"] == often["tpl"]).select("tpl", "before", "after"), least)
     around = settle(_around_blocks(every, least), "around")
     masks = masks.unionByName(_surroundings(around.select(F.col("mask").alias("tpl"), "before", "after"), least))
 
     # Leaves whose lines differ after masking may hold templates with variable words.
     forms = settle(_forms(lines, least, depth, constant_share, min_constant), "forms")
     for uses in (lines, around):
-        good = _surroundings(uses.join(_small(forms), "mask").select("tpl", "before", "after"), least)
+        good = _surroundings(uses.join(small(forms), "mask").select("tpl", "before", "after"), least)
         masks = masks.unionByName(forms.join(good, "tpl", "left_semi").select(F.col("mask").alias("tpl")))
     masks = settle(masks.distinct(), "masks")
-    return lines.join(_small(masks), lines["mask"] == masks["tpl"], "left_semi").select("id", "th", "pos").distinct()
+    return lines.join(small(masks), lines["mask"] == masks["tpl"], "left_semi").select("id", "th", "pos").distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **tuning) -> DataFrame:

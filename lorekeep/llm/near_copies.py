@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import arrow_rows, connected_components, release, settle
+from lorekeep.llm.common import arrow_rows, connected_components, release, settle, small
 from lorekeep.llm.simhash import Forest, fingerprint, link_fingerprints
 
 BANDS, ROWS = 30, 5
@@ -87,14 +87,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cells = cells.select("band", "key", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "chunk", "rep")
     # An id may be on several rows: any of its texts with the digest of its rep stands for it.
     own = sketched.join(reps.select("digest", "rep"), "digest").where(F.col(id_col) == F.col("rep")).select("rep", "digest").distinct()
-    wanted = dealt.select("rep").distinct().join(own, "rep")
+    # Texts stay where they are while those to be compared are few.
+    asked = settle(dealt.select("rep").distinct(), "asked")
+    wanted = asked.join(own, "rep")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), words).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["rep", "digest", "grams"])
 
-    grams = texts.select(F.col(id_col).cast("long").alias("rep"), "t").join(dealt.select("rep").distinct(), "rep", "left_semi").mapInArrow(hashed, "rep long, digest binary, grams binary")
+    grams = texts.select(F.col(id_col).cast("long").alias("rep"), "t").join(small(asked), "rep", "left_semi").mapInArrow(hashed, "rep long, digest binary, grams binary")
     grams = settle(grams.join(wanted, ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]).select("rep", "digest", "grams"), "grams")
 
     def match(table: pa.Table) -> pa.Table:
