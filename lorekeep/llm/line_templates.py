@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import settle, small
+from lorekeep.llm.common import release, settle, small
 
 #: Tokens that look variable: numbers and whatever holds a digit, addresses.
 VARIABLE = r"\S*[0-9@]\S*"
@@ -65,7 +65,7 @@ def _surroundings(uses: DataFrame, least: int) -> DataFrame:
 
 
 def _around_blocks(lines: DataFrame, least: int) -> DataFrame:
-    """(th, pos, mask, before, after): lines around the block of recurring lines next to or about each line.
+    """(th, pos, mask, before, after), settled: lines around the block of recurring lines next to or about each line.
 
     A line recurs here if ``least`` different texts hold it.  Each text counts
     once, however often it was copied; texts with recurring lines for over half
@@ -83,11 +83,13 @@ def _around_blocks(lines: DataFrame, least: int) -> DataFrame:
     for side, order in (("b", F.col("pos").asc()), ("a", F.col("pos").desc())):
         rows = rows.withColumn(side, F.last("alone", ignorenulls=True).over(text.orderBy(order).rowsBetween(W.unboundedPreceding, -1)))
     rows = rows.where((F.col("again") * 2 <= F.col("of")) & (F.col("b").isNotNull() | F.col("a").isNotNull()))
-    return rows.select("th", "pos", "mask", F.coalesce("b", "a").alias("before"), F.coalesce("a", "b").alias("after"))
+    around = settle(rows.select("th", "pos", "mask", F.coalesce("b", "a").alias("before"), F.coalesce("a", "b").alias("after")), "around")
+    release(wide, recurring, held)
+    return around
 
 
 def _forms(lines: DataFrame, least: int, depth: int, constant_share: float, min_constant: float) -> DataFrame:
-    """(mask, tpl): the templates with variable words that each masked line has, in leaves with several masked lines.
+    """(mask, tpl), settled: the templates with variable words that each masked line has, in leaves with several masked lines.
 
     A token is constant if enough different texts of the leaf have it at its
     position.  Where nearly all have it, ``min_constant`` of a line's tokens
@@ -111,29 +113,34 @@ def _forms(lines: DataFrame, least: int, depth: int, constant_share: float, min_
     tokens = tokens.withColumn("fixed", F.filter("tokens", lambda x: x["c"] >= F.col("level")))
     needed = F.when(F.col("level") == F.col("top"), F.col("n") * min_constant).otherwise(depth + (F.col("n") - depth) * min_constant)
     fixed = tokens.where(F.size("fixed") >= F.greatest(needed, F.lit(depth + 1)))
-    return fixed.select("mask", F.xxhash64("leaf", F.transform("fixed", lambda x: F.struct(x["p"], x["w"]))).alias("tpl")).distinct()
+    forms = settle(fixed.select("mask", F.xxhash64("leaf", F.transform("fixed", lambda x: F.struct(x["p"], x["w"]))).alias("tpl")).distinct(), "forms")
+    release(leaves, in_leaf, texts)
+    return forms
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 4, depth: int = 3, min_tokens: int = 3, min_chars: int = 12, constant_share: float = 0.95, min_constant: float = 0.5) -> DataFrame:
     """(id, th, pos): the lines to drop.  th is the hash of the text, pos the line's number from 0.
 
     Lines under ``min_tokens`` tokens or ``min_chars`` characters are no templates.
+    The result is settled; the table of lines, larger than the texts, is gone by then.
     """
     every = settle(_tree(docs, id_col, text_col, depth), "lines")
     lines = every.where((F.col("n") >= min_tokens) & (F.col("size") >= min_chars))
     often = lines.groupBy("mask").agg(F.count("*").alias("c"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"))
     often = settle(often.where((F.col("c") >= least) & (F.col("b0") != F.col("b1")) & (F.col("a0") != F.col("a1"))).select(F.col("mask").alias("tpl")), "often")
     masks = _surroundings(lines.join(small(often), lines["mask"] == often["tpl"]).select("tpl", "before", "after"), least)
-    around = settle(_around_blocks(every, least), "around")
+    around = _around_blocks(every, least)
     masks = masks.unionByName(_surroundings(around.select(F.col("mask").alias("tpl"), "before", "after"), least))
 
     # Leaves whose lines differ after masking may hold templates with variable words.
-    forms = settle(_forms(lines, least, depth, constant_share, min_constant), "forms")
+    forms = _forms(lines, least, depth, constant_share, min_constant)
     for uses in (lines, around):
         good = _surroundings(uses.join(small(forms), "mask").select("tpl", "before", "after"), least)
         masks = masks.unionByName(forms.join(good, "tpl", "left_semi").select(F.col("mask").alias("tpl")))
     masks = settle(masks.distinct(), "masks")
-    return lines.join(small(masks), lines["mask"] == masks["tpl"], "left_semi").select("id", "th", "pos").distinct()
+    dropped = settle(lines.join(small(masks), lines["mask"] == masks["tpl"], "left_semi").select("id", "th", "pos").distinct(), "dropped")
+    release(every, often, around, forms, masks)
+    return dropped
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **tuning) -> DataFrame:
@@ -145,7 +152,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     table gives none.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    dropped = settle(recurring_lines(docs, id_col, text_col, **tuning), "dropped")
+    dropped = recurring_lines(docs, id_col, text_col, **tuning)
     gone = dropped.groupBy("id", "th").agg(F.sort_array(F.collect_list("pos")).alias("__gone")).withColumnsRenamed({"id": "__id", "th": "__th"})
     named = docs.withColumn("__key", F.xxhash64(F.col(text_col).cast("string")))
     joined = named.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")

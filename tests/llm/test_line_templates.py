@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from lorekeep.llm import common
 from lorekeep.llm import line_templates as lt
 
 
@@ -107,3 +108,22 @@ def test_a_leaf_may_hold_several_templates(spark):
     got = {r["doc_id"]: r["text"] for r in lt.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
         assert got[i].split("\n") == [x for x in text.split("\n") if not x.startswith(tuple(forms))]
+
+
+def test_tables_that_nothing_reads_again_go_before_the_texts_are_joined(spark, monkeypatch):
+    rnd = random.Random(11)
+    often = "Read more of this on our front page"
+    rows = [(i, "\n".join([words(rnd, 9), often, words(rnd, 9)])) for i in range(8)]
+    made = []
+
+    def settle(df, label):
+        made.append((label, common.settle(df, label)))
+        return made[-1][1]
+
+    monkeypatch.setattr(lt, "settle", settle)
+    out = lt.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(made[0][1]._settled).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert {"lines", "in-leaf", "around"} < {label for label, _ in made}
+    assert [label for label, df in made if files.exists(path(df._settled))] == ["dropped"]
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(i, t.replace(often + "\n", "")) for i, t in rows}
