@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,13 @@ from lorekeep.operators.graph import _cut
 NEAR_COPY, EDGE, DRIFT, BACKBONE = 0.95, 0.5, 0.08, 0.01
 
 
+#: Rows are copied as often as there are blocks: over BLOCKS blocks only where a block would hold more than BLOCK_BYTES.
+#: A block meets another by tiles of TILE rows.
+BLOCKS, BLOCK_BYTES, TILE = 16, 32 << 20, 2_000
+#: Edges and nodes of a graph whose connectivity is found in one task.
+IN_ONE_TASK = 10_000_000
+
+
 def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vector_col: str = "embedding", block_rows: int = 2_000) -> DataFrame:
     """(a, b, sim) of all pairs a < b with cosine at least ``least``, exactly.
 
@@ -22,61 +31,114 @@ def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vector_c
     is compared by matrix products, so a task holds two blocks whatever the
     size of the table, and only pairs that qualify leave it.
     """
-    return _block_join(vectors, id_col, vector_col, block_rows, "a {0}, b {0}, sim double", lambda ids_a, ids_b, s, same: _pairs(ids_a, ids_b, s, least, same))
-
-
-def _pairs(ids_a, ids_b, s, least, same):
-    r, c = np.nonzero(np.triu(s >= least, 1) if same else s >= least)
-    a, b = ids_a[r], ids_b[c]
-    low = a < b
-    keep = a != b
-    return {"a": np.where(low, a, b)[keep], "b": np.where(low, b, a)[keep], "sim": s[r, c][keep]}
+    kind = vectors.schema[id_col].dataType.simpleString()
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    return _block_join(rows, block_rows, f"a {kind}, b {kind}, sim double", lambda ids, _, tiles: _pairs(ids, None, tiles, least))
+
+
+def _pairs(ids, places, tiles, least):
+    """Columns a, b, sim of the pairs in the tiles; with places also of neighbours that are not similar, at BACKBONE."""
+    a, b, sims = [ids[:0]], [ids[:0]], [np.array([], float)]
+    for x, y, s, same in tiles:
+        near = s >= least
+        r, c = np.divmod(np.flatnonzero(np.triu(near, 1) if same else near), len(y))
+        left, right = ids[x[r]], ids[y[c]]
+        low = left < right
+        keep = left != right
+        a.append(np.where(low, left, right)[keep])
+        b.append(np.where(low, right, left)[keep])
+        sims.append(s[r, c][keep])
+        if places is None:
+            continue
+        order = np.argsort(places[y])
+        for step in (1,) if same else (1, -1):
+            at = np.searchsorted(places[y], places[x] + step, sorter=order)
+            c = order[np.minimum(at, len(y) - 1)]
+            r = np.flatnonzero(places[y[c]] == places[x] + step)
+            c = c[r]
+            # In a tile of itself a pair was compared above the diagonal.
+            weak = ~(near[np.minimum(r, c), np.maximum(r, c)] if same else near[r, c])
+            first, second = (x[r[weak]], y[c[weak]]) if step == 1 else (y[c[weak]], x[r[weak]])
+            a.append(ids[first])
+            b.append(ids[second])
+            sims.append(np.full(len(first), BACKBONE))
+    return {"a": np.concatenate(a), "b": np.concatenate(b), "sim": np.concatenate(sims)}
 
 
 def nearest_similarity(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", block_rows: int = 2_000) -> DataFrame:
     """(id, sim): each row's highest cosine to another row; one row a vector and block pair is shuffled."""
 
-    def best(ids_a, ids_b, s, same):
-        if same:
-            s = s.copy()
-            np.fill_diagonal(s, -2.0)
-            return {"a": ids_a, "sim": s.max(axis=1)} if len(ids_a) > 1 else {"a": ids_a[:0], "sim": np.array([], float)}
-        return {"a": np.concatenate([ids_a, ids_b]), "sim": np.concatenate([s.max(axis=1), s.max(axis=0)])}
-
-    found = _block_join(vectors, id_col, vector_col, block_rows, "a {0}, sim double", best)
+    def best(ids, _, tiles):
+        top = np.full(len(ids), -np.inf)
+        for x, y, s, same in tiles:
+            if same:
+                np.fill_diagonal(s, -np.inf)
+            else:
+                top[y] = np.maximum(top[y], s.max(axis=0))
+            top[x] = np.maximum(top[x], s.max(axis=1))
+        met = top > -np.inf
+        return {"a": ids[met], "sim": top[met]}
+
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    found = _block_join(rows, block_rows, f"a {vectors.schema[id_col].dataType.simpleString()}, sim double", best)
     return found.groupBy(F.col("a").alias(id_col)).agg(F.max("sim").alias("sim"))
 
 
-def _block_join(vectors: DataFrame, id_col: str, vector_col: str, block_rows: int, schema: str, compare) -> DataFrame:
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    g = max(1, -(-rows.count() // block_rows))
+def _block_join(rows: DataFrame, block_rows: int, schema: str, compare) -> DataFrame:
+    """compare(ids, places, tiles) of each pair of blocks of rows (id, v, place or none).
+
+    tiles gives (x, y, s, same): the cosines s of the rows at x and at y, ``same``
+    where both are one part of the table.  Each two rows meet in one tile.
+    """
+    rows = rows.withColumn("v", F.col("v").cast("array<double>"))
+    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    most = max(block_rows, BLOCK_BYTES // (8 * max(1, dim or 1)))
+    g = max(1, min(-(-n // block_rows), max(BLOCKS, -(-n // most))))
     cut = rows.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
-    cut = cut.select(F.least("c", "k").alias("i"), F.greatest("c", "k").alias("j"), "c", "id", "v")
+    cut = cut.select(F.least("c", "k").alias("i"), F.greatest("c", "k").alias("j"), "c", *rows.columns)
 
     def meet(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         ids, c = table["id"].to_numpy(), table["c"].to_numpy()
-        v = np.stack(table["v"].to_pylist())
-        n = np.linalg.norm(v, axis=1)
-        v = v / np.where(n > 0, n, 1.0)[:, None]
-        left, right = c == i, c == j
-        found = compare(ids[left], ids[right], v[left] @ v[right].T, i == j)
+        places = table["place"].to_numpy() if "place" in table.column_names else None
+        v = _matrix(table["v"])
+        norms = np.linalg.norm(v, axis=1)
+        v /= np.where(norms > 0, norms, 1.0)[:, None]
+        left = np.flatnonzero(c == i)
+        right = left if i == j else np.flatnonzero(c == j)
+
+        def tiles():
+            for a in range(0, len(left), TILE):
+                x = left[a : a + TILE]
+                for b in range(a if i == j else 0, len(right), TILE):
+                    y = right[b : b + TILE]
+                    yield x, y, v[x] @ v[y].T, i == j and a == b
+
+        found = compare(ids, places, tiles())
         kind = table.schema.field("id").type
         return pa.table({k: pa.array(x, kind if k in ("a", "b") else pa.float64()) for k, x in found.items()})
 
-    # A cell that lacks one of its two blocks has nothing to compare.
-    full = cut.groupBy("i", "j").agg(F.count_distinct("c").alias("blocks")).where((F.col("blocks") == 2) | (F.col("i") == F.col("j"))).select("i", "j")
-    cut = cut.join(F.broadcast(full) if g <= 300 else full, ["i", "j"])
+    # A partition for each pair of blocks: the work lies in comparing, not in the bytes by which partitions would be joined.
+    return cut.repartition(g * (g + 1) // 2, "i", "j").groupBy("i", "j").applyInArrow(meet, schema)
 
-    return cut.groupBy("i", "j").applyInArrow(meet, schema.format(vectors.schema[id_col].dataType.simpleString()))
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one size as a matrix of its own."""
+    flat = np.concatenate([np.asarray(x.flatten()) for x in column.chunks])
+    sizes = np.concatenate([np.asarray(x.value_lengths()) for x in column.chunks])
+    if (sizes != sizes[0]).any() or np.isnan(sizes.astype(float)).any():
+        raise ValueError("vectors of different sizes")
+    return flat.reshape(len(sizes), -1)
 
-def similarity_graph(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", least: float = EDGE) -> DataFrame:
-    """(a, b, weight): similar pairs, and a weak chain of neighbours by id where they are not similar."""
-    pairs = similar_pairs(vectors, least, id_col, vector_col).select("a", "b", F.col("sim").alias("weight"))
-    placed = numbered(vectors.select(F.col(id_col).alias("a")), ["a"])
-    chain = placed.join(placed.select((F.col("n") - 1).alias("n"), F.col("a").alias("b")), "n").select("a", "b")
-    return pairs.unionByName(chain.join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("weight", F.lit(BACKBONE)))
+
+def similarity_graph(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", least: float = EDGE, block_rows: int = 2_000) -> DataFrame:
+    """(a, b, weight): similar pairs, and a weak chain of neighbours by id where they are not similar.
+
+    Neighbours are told where their blocks meet, so the pairs are found once and joined with nothing.
+    """
+    kind = vectors.schema[id_col].dataType.simpleString()
+    rows = numbered(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), ["id"], "place")
+    return _block_join(rows, block_rows, f"a {kind}, b {kind}, sim double", lambda *x: _pairs(*x, least)).withColumnRenamed("sim", "weight")
 
 
 def contradiction_rate(vectors: DataFrame, order_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -101,16 +163,21 @@ def workspace_score(vectors: DataFrame, vector_col: str = "embedding", least: fl
     return near.agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("score"))
 
 
-def fiedler_value(edges: DataFrame, nodes: int, most: int = 3_000, rounds: int = 300, tolerance: float = 1e-7) -> float:
+def fiedler_value(edges: DataFrame, nodes: int, most: int = 3_000, rounds: int = 300, tolerance: float = 1e-7, in_one_task: int = IN_ONE_TASK) -> float:
     """Second smallest Laplacian eigenvalue over n, within 0..1: our normalisation of the algebraic connectivity.
 
     Graphs of at most ``most`` nodes are solved dense on the driver, larger ones
-    by power iteration over the edge table (see _power_iteration).
+    by power iteration: with at most ``in_one_task`` nodes and edges in one task,
+    else over the edge table (see _power_iteration).
     """
     if nodes < 2:
         return 0.0
     if nodes > most:
-        return float(np.clip(_power_iteration(edges, nodes, rounds, tolerance) / nodes, 0.0, 1.0))
+        size = edges.count()
+        if not size:
+            return 0.0
+        solve = _power_iteration_in_memory if max(nodes, size) <= in_one_task else _power_iteration
+        return float(np.clip(solve(edges, nodes, rounds, tolerance) / nodes, 0.0, 1.0))
     rows = edges.select("a", "b", "weight").collect()
     at = {x: i for i, x in enumerate(sorted({r[0] for r in rows} | {r[1] for r in rows}))}
     lap = np.zeros((nodes, nodes))
@@ -137,7 +204,7 @@ def _power_iteration(edges: DataFrame, nodes: int, rounds: int, tolerance: float
     c = 2 * (degree.agg(F.max("d")).first()[0] or 0.0)
     if c == 0 or degree.count() < nodes:
         return 0.0
-    x = degree.select("i", "d", (F.pmod(F.xxhash64("i"), F.lit(1_000_003)) / 1_000_003.0 - 0.5).alias("x"))
+    x = degree.select("i", "d", _start("i").alias("x"))
     value = last = c
     for k in range(rounds):
         mean, size = x.agg(F.avg("x"), F.sqrt(F.sum(F.col("x") * F.col("x")) - F.count("*") * F.pow(F.avg("x"), 2))).first()
@@ -153,17 +220,66 @@ def _power_iteration(edges: DataFrame, nodes: int, rounds: int, tolerance: float
     return value
 
 
+def _start(node: str) -> Column:
+    """Where the iteration starts at a node."""
+    return F.pmod(F.xxhash64(node), F.lit(1_000_003)) / 1_000_003.0 - 0.5
+
+
+def _power_iteration_in_memory(edges: DataFrame, nodes: int, rounds: int, tolerance: float) -> float:
+    """_power_iteration on arrays, step by step the same, in one task."""
+
+    def iterate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        ends = pa.chunked_array([b.column(k) for k in (0, 1) for b in batches])
+        w, xa, xb = (np.concatenate([np.asarray(b.column(k)) for b in batches]) for k in (2, 3, 4))
+        batches.clear()
+        at = np.concatenate([np.asarray(x.indices) for x in ends.dictionary_encode().chunks])
+        i, j, n = at[: len(w)], at[len(w) :], int(at.max()) + 1
+        d = np.bincount(i, w, n) + np.bincount(j, w, n)
+        value, c = 0.0, 2 * d.max()
+        if c > 0 and n >= nodes:
+            x = np.empty(n)
+            x[i], x[j] = xa, xb
+            value = c
+            for k in range(rounds):
+                x -= x.mean()
+                size = np.sqrt(x @ x)
+                if not size:
+                    value = 0.0
+                    break
+                x /= size
+                lx = d * x - np.bincount(i, w * x[j], n) - np.bincount(j, w * x[i], n)
+                last, value = value, float(x @ lx)
+                if k and abs(last - value) < tolerance * c:
+                    break
+                x = c * x - lx
+        yield pa.RecordBatch.from_arrays([pa.array([value], pa.float64())], names=["value"])
+
+    return edges.select("a", "b", F.col("weight").cast("double"), _start("a").alias("xa"), _start("b").alias("xb")).coalesce(1).mapInArrow(iterate, "value double").first()[0]
+
+
 def interpretation(score: Column) -> Column:
     return F.when(score < 0.30, "Disjoint").when(score < 0.60, "Loose").when(score < 0.85, "Coherent").otherwise("HighlyIntegrated")
 
 
-def coherence_kpi(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", least: float = EDGE) -> dict:
-    """integrated = connectivity x (1 - mean nearest distance); workspace; label.  Zeros for no vectors."""
+def _connectivity(vectors: DataFrame, n: int, id_col: str, vector_col: str, least: float) -> tuple[DataFrame, float]:
+    """The similarity graph, found once and kept, and its fiedler_value."""
+    edges = _cut(similarity_graph(vectors, id_col, vector_col, least))
+    return edges, fiedler_value(edges, n)
+
+
+def coherence_kpi(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", least: float = EDGE, connectivity: float | None = None) -> dict:
+    """integrated = connectivity x (1 - mean nearest distance); workspace; label.  Zeros for no vectors.
+
+    ``connectivity`` is the fiedler_value at ``least`` where it is known.
+    """
     n = vectors.count()
     if n == 0:
         return {"integrated": 0.0, "workspace": 0.0, "label": "Disjoint"}
+    if connectivity is None:
+        connectivity = _connectivity(vectors, n, id_col, vector_col, least)[1]
     near = nearest_similarity(vectors, id_col, vector_col).agg(F.avg((1 - F.col("sim")) / 2)).first()[0] or 0.0
-    integrated = fiedler_value(similarity_graph(vectors, id_col, vector_col, least), n) * (1 - near)
+    integrated = connectivity * (1 - near)
     label = next(l for cut, l in ((0.30, "Disjoint"), (0.60, "Loose"), (0.85, "Coherent"), (float("inf"), "HighlyIntegrated")) if integrated < cut)
     return {"integrated": integrated, "workspace": workspace_score(vectors, vector_col, least).first()[0], "label": label}
 
@@ -175,7 +291,9 @@ def kb_health(vectors: DataFrame, id_col: str = "id", vector_col: str = "embeddi
         raise ValueError("no vectors")
     if n == 1:
         return {"fiedler": 0.0, "contradiction_rate": 0.0, "near_copies": 0}
-    return {"fiedler": fiedler_value(similarity_graph(vectors, id_col, vector_col), n), "contradiction_rate": contradiction_rate(vectors, id_col, vector_col).first()[0], "near_copies": similar_pairs(vectors, NEAR_COPY, id_col, vector_col).count()}
+    edges, fiedler = _connectivity(vectors, n, id_col, vector_col, EDGE)
+    # Near copies are edges: EDGE lies under NEAR_COPY, and the weak chain under both.
+    return {"fiedler": fiedler, "contradiction_rate": contradiction_rate(vectors, id_col, vector_col).first()[0], "near_copies": edges.where(F.col("weight") >= NEAR_COPY).count()}
 
 
 def drift(history: DataFrame, order_by: list[str], score_col: str, by: list[str] | None = None, threshold: float = DRIFT) -> DataFrame:
