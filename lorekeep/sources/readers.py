@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -104,6 +105,7 @@ class _Text(HTMLParser):
         self.open: list[str] = []
         self.main: list[str] = []
         self.loose: list[str] = []
+        self.verbatim = False
 
     def handle_starttag(self, tag, attrs):
         if tag == "p" and "p" in self.open:
@@ -120,6 +122,8 @@ class _Text(HTMLParser):
         self._close(tag)
 
     def handle_data(self, data):
+        if self.verbatim and self.cdata_elem:  # references are not read in scripts and styles
+            data = data.replace("&amp;", "&")
         text = data.strip()
         if text:
             self.main += [text] * sum(t in ("article", "main") for t in self.open)
@@ -127,19 +131,29 @@ class _Text(HTMLParser):
                 self.loose.append(text)
 
 
-def html_main_text(html: str | None) -> str:
+_AMPERSAND = re.compile(r"&(?!#[0-9]+;|#[xX][0-9a-fA-F]+;)([A-Za-z][A-Za-z0-9]*;)?")
+
+
+def _bare_kept(html: str) -> str:
+    """Ampersands that begin no known reference with its semicolon, written as references."""
+    return _AMPERSAND.sub(lambda m: m[0] if m[1] in html5 else f"&amp;{m[1] or ''}", html)
+
+
+def html_main_text(html: str | None, bare: bool = True) -> str:
+    """The page's text.  Browsers also read some references without their semicolon (``&amp``); bare=False leaves those as they stand."""
     parser = _Text()
-    parser.feed(html or "")
+    parser.verbatim = not bare
+    parser.feed((html or "") if bare else _bare_kept(html or ""))
     parser.close()
     return "\n\n".join(parser.main or parser.loose)
 
 
-def html_text(col: Column) -> Column:
+def html_text(col: Column, bare: bool = True) -> Column:
     """Text under article and main (else p), text nodes parted by blank lines."""
 
     @F.pandas_udf("string")
     def parsed(pages: pd.Series) -> pd.Series:
-        return pages.map(html_main_text)
+        return pages.map(lambda html: html_main_text(html, bare))
 
     return parsed(col)
 
@@ -150,10 +164,10 @@ def page_title(url: Column) -> Column:
     return F.when(last != "", last).otherwise(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
 
 
-def pages_to_segments(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", compat: bool = False) -> DataFrame:
+def pages_to_segments(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", compat: bool = False, bare: bool = True) -> DataFrame:
     from lorekeep.operators.chunking import paragraphs_to_segments
 
-    rows = pages.select(F.col(id_col), paragraphs(html_text(F.col(html_col))).alias("paragraphs"))
+    rows = pages.select(F.col(id_col), paragraphs(html_text(F.col(html_col), bare)).alias("paragraphs"))
     return paragraphs_to_segments(rows, id_col, "paragraphs", compat=compat)
 
 
