@@ -13,7 +13,7 @@ PAGES = [
 ]
 
 
-@pytest.mark.parametrize("query", ["q_page_segments"])
+@pytest.mark.parametrize("query", ["q_html_text", "q_page_segments"])
 def test_cut_references_as_in_the_sql(spark, tmp_path, query):
     spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
